@@ -1,11 +1,418 @@
-"""All queries of the entity-resolution part, by name."""
+"""All queries of the entity-resolution part with their SQL, by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linkspark.functions import similarity as S
+from linkspark.functions import text as T
+from linkspark.operators import blocking as B
+from linkspark.operators import evaluation as E
+from linkspark.operators import fuzzy as Z
+from linkspark.sources import readers, sinks
 
-def oracle_sql() -> dict:
-    return {}
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+# ---- SQL pieces ------------------------------------------------------------------------------------------
+
+_NORM = r"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_TOK = "array_to_string(list_sort(list_distinct(string_split({c}, ' '))), ' ')"
+_ENT = f"""WITH raw AS (SELECT (doc_id % 3 + 1)::INT AS src, 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS id,
+  left(split_part(trim(text), chr(10), 1), 64) AS bn, right(trim(text), 64) AS ba, lang AS country, text AS t FROM documents),
+nrm AS (SELECT *, {_NORM.format(c="bn")} AS name_norm, {_NORM.format(c="ba")} AS address_norm FROM raw),
+ent AS (SELECT *, replace(name_norm, ' ', '') AS name_compact, replace(address_norm, ' ', '') AS address_compact, {_TOK.format(c="name_norm")} AS name_tokens, {_TOK.format(c="address_norm")} AS address_tokens FROM nrm),
+tru AS (SELECT a.id AS s, b.id AS x FROM (SELECT id, left(replace({_NORM.format(c="t")}, ' ', ''), 120) AS k FROM raw WHERE src = 1) a JOIN (SELECT id, left(replace({_NORM.format(c="t")}, ' ', ''), 120) AS k FROM raw WHERE src > 1) b ON a.k = b.k AND a.k <> '')
+"""
+_KEY = {
+    "exact_name": "name_norm", "compact_name": "name_compact", "exact_address": "address_norm", "compact_address": "address_compact", "name_tokens": "name_tokens", "address_tokens": "address_tokens",
+    "first_word_country": "split_part(name_norm, ' ', 1)", "prefix6_country": "CASE WHEN length(name_compact) >= 6 THEN left(name_compact, 6) END", "prefix6": "left(name_compact, 6)", "prefix8": "left(name_compact, 8)",
+    "suffix6": "right(name_compact, 6)", "name_core": "regexp_replace(name_norm, ' group$', '')", "country_name": "CASE WHEN name_norm <> '' THEN country || '|' || name_norm END",
+    "country_compact": "CASE WHEN name_compact <> '' THEN country || '|' || name_compact END", "country_address": "CASE WHEN address_norm <> '' THEN country || '|' || address_norm END",
+}
+
+
+def _pairs_sql(rules: list[B.Rule], side: str, keep_rule: bool = False) -> str:
+    """A SELECT of pairs (s, x), each rule in the plain form: frequencies of both sides, then a join."""
+    out = []
+    for no, r in enumerate(rules):
+        k = f"SELECT id, src, country, {_KEY[r.name]} AS k FROM ent"
+        ok = f"k <> '' AND length(k) >= {r.least}"
+        same = " AND a.country = b.country" if r.same_country else ""
+        tag = f", '{r.name}' AS rule, {no} AS no" if keep_rule else ""
+        for t in (2, 3):
+            caps = ""
+            if side == "both" and r.cap:
+                caps = f" AND a.k IN (SELECT k FROM ({k}) WHERE src = 1 AND {ok} GROUP BY k HAVING count(*) <= {r.cap}) AND b.k IN (SELECT k FROM ({k}) WHERE src = {t} AND {ok} GROUP BY k HAVING count(*) <= {r.cap})"
+            elif side == "target" and r.cap:
+                caps = f" AND b.k IN (SELECT k FROM ({k}) WHERE src > 1 AND {ok} GROUP BY k HAVING count(*) <= {r.cap})"
+            out.append(f"SELECT a.id AS s, b.id AS x{tag} FROM ({k}) a JOIN ({k}) b ON a.k = b.k{same} WHERE a.src = 1 AND b.src = {t} AND a.k <> '' AND length(a.k) >= {r.least}{caps}")
+    return " UNION ".join(out)
+
+
+_AS_PAIR = "s AS source1_entity_id, x AS target_entity_id"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _ents(spark: SparkSession, d: str) -> DataFrame:
+    return readers.entities(spark, d)
+
+
+def _s1(ents: DataFrame) -> DataFrame:
+    return ents.filter("src = 1").select(F.col("entity_id").alias("source1_entity_id"))
+
+
+def _truth(ents: DataFrame) -> DataFrame:
+    k = F.left(T.compact(T.normalize(F.col("_text"))), F.lit(120))
+    rows = ents.select("src", "entity_id", k.alias("k")).filter("k <> ''")
+    left = rows.filter("src = 1").select("k", F.col("entity_id").alias("source1_entity_id"))
+    return left.join(rows.filter("src > 1").select("k", F.col("entity_id").alias("target_entity_id")), "k").select(*E.PAIR).distinct()
+
+
+# ---- normalisation and keys ------------------------------------------------------------------------------
+
+_NCOLS = "name_norm, name_compact, name_tokens, address_norm, address_compact, address_tokens"
+
+
+@query("normalize_native", f"{_ENT} SELECT id AS entity_id, {_NCOLS} FROM ent")
+def normalize_native(spark, d):
+    return _ents(spark, d).select("entity_id", *_NCOLS.split(", "))
+
+
+_UNI = r"trim(regexp_replace(replace(replace(lower({c}), 'ß', 'ss'), '&', ' and '), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query("normalize_unicode", f"{_ENT} SELECT id AS entity_id, {_UNI.format(c='bn')} AS name_norm, {_UNI.format(c='ba')} AS address_norm FROM raw")
+def normalize_unicode(spark, d):
+    return readers.entities(spark, d, T.normalize_unicode).select("entity_id", "name_norm", "address_norm")
+
+
+@query("normalize_native_folded", _SQL["normalize_unicode"])
+def normalize_native_folded(spark, d):
+    return readers.entities(spark, d, T.normalize_native).select("entity_id", "name_norm", "address_norm")
+
+
+@query("blocking_keys", f"""{_ENT} SELECT id AS entity_id, {_KEY['name_core']} AS name_core, CASE WHEN length({_KEY['first_word_country']}) >= 5 THEN {_KEY['first_word_country']} END AS first_word,
+  {_KEY['prefix6_country']} AS prefix6, left(name_compact, 8) AS prefix8, {_KEY['suffix6']} AS suffix6, {_KEY['country_name']} AS country_name FROM ent""")
+def blocking_keys(spark, d):
+    n, c = F.col("name_norm"), F.col("name_compact")
+    return _ents(spark, d).select("entity_id", T.name_core(n).alias("name_core"), T.first_word(n).alias("first_word"), T.prefix(c, 6).alias("prefix6"), T.prefix(c, 8, False).alias("prefix8"), T.suffix(c, 6).alias("suffix6"), T.composite(F.col("country"), n).alias("country_name"))
+
+
+# ---- pairs -----------------------------------------------------------------------------------------------
+
+
+def _register_pairs(name: str, rules: list[B.Rule], side: str) -> None:
+    query(name, f"{_ENT} SELECT {_AS_PAIR} FROM ({_pairs_sql(rules, side)})")(lambda spark, d: B.pairs(_ents(spark, d), rules, side))
+
+
+for _n, _r, _s in (
+    ("exact_name_pairs", [B.rule("exact_name")], "none"), ("exact_address_pairs", [B.rule("exact_address")], "none"), ("compact_name_pairs", [B.rule("compact_name")], "none"), ("compact_address_pairs", [B.rule("compact_address")], "none"),
+    ("name_token_pairs", [B.rule("name_tokens")], "none"), ("address_token_pairs", [B.rule("address_tokens")], "none"), ("capped_name_5", [B.rule("exact_name", 1, 5)], "both"), ("capped_name_20", [B.rule("exact_name", 1, 20)], "both"),
+    ("capped_all_rules", B.R_MAIN, "both"), ("high_recall_exact_layer", B.R_HIGH, "both"), ("country_first_word", [B.rule("first_word_country", 5, 20)], "both"), ("country_prefix6", [B.rule("prefix6_country", 6, 15)], "both"),
+    ("target_cap_union", B.R_EXP1, "target"), ("target_cap_union_wide", B.R_EXP2, "target"), ("target_cap_small", [B.rule("exact_name", 3, 10), B.rule("prefix6", 3, 8)], "target"), ("suffix6_pairs", [B.rule("suffix6", 3, 250)], "target"),
+    ("composite_country_pairs", B.R_NEXT, "none"), ("benchmark_rule_pairs", B.R_BENCH, "none"), ("streamed_rule_pairs", B.R_STREAM, "none"), ("name_core_capped_20", B.R_CORE[20], "both"), ("name_core_capped_200", B.R_CORE[200], "both"),
+):
+    _register_pairs(_n, _r, _s)
+
+
+@query("pairs_with_rules", f"{_ENT} SELECT {_AS_PAIR}, string_agg(rule, ',' ORDER BY rule) AS block_rules FROM ({_pairs_sql(B.R_MAIN, 'both', True)}) GROUP BY s, x")
+def pairs_with_rules(spark, d):
+    return B.pairs_with_rules(_ents(spark, d), B.R_MAIN)
+
+
+_OR = ("name_norm", "name_tokens", "address_norm")
+
+
+@query("or_join_union", f"{_ENT} SELECT DISTINCT a.id AS source1_entity_id, b.id AS target_entity_id FROM ent a JOIN ent b ON ({' OR '.join(f'(a.{c} = b.{c} AND a.{c} <> {chr(39)*2})' for c in _OR)}) WHERE a.src = 1 AND b.src > 1")
+def or_join_union(spark, d):
+    return B.any_equal(_ents(spark, d), list(_OR))
+
+
+@query("new_pairs_anti", f"{_ENT}, a AS ({_pairs_sql([B.rule('name_tokens')], 'none')}), b AS ({_pairs_sql([B.rule('exact_name', 1, 5)], 'both')}) SELECT {_AS_PAIR} FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.s = b.s AND a.x = b.x)")
+def new_pairs_anti(spark, d):
+    e = _ents(spark, d)
+    return B.new_pairs(B.pairs(e, [B.rule("name_tokens")], "none"), B.pairs(e, [B.rule("exact_name", 1, 5)]))
+
+
+@query("covered_exists", f"{_ENT}, a AS ({_pairs_sql([B.rule('exact_name')], 'none')}), b AS ({_pairs_sql([B.rule('address_tokens')], 'none')}) SELECT DISTINCT {_AS_PAIR} FROM tru WHERE EXISTS (SELECT 1 FROM a WHERE a.s = tru.s AND a.x = tru.x) OR EXISTS (SELECT 1 FROM b WHERE b.s = tru.s AND b.x = tru.x)")
+def covered_exists(spark, d):
+    e = _ents(spark, d)
+    return E.covered(_truth(e), B.pairs(e, [B.rule("exact_name")], "none"), B.pairs(e, [B.rule("address_tokens")], "none"))
+
+
+@query("pair_intersection", f"{_ENT} SELECT {_AS_PAIR} FROM (({_pairs_sql([B.rule('exact_name')], 'none')}) INTERSECT ({_pairs_sql([B.rule('exact_address')], 'none')}))")
+def pair_intersection(spark, d):
+    e = _ents(spark, d)
+    return B.pairs(e, [B.rule("exact_name")], "none").intersect(B.pairs(e, [B.rule("exact_address")], "none"))
+
+
+@query("pair_difference", f"{_ENT} SELECT {_AS_PAIR} FROM (({_pairs_sql([B.rule('exact_name')], 'none')}) EXCEPT ({_pairs_sql([B.rule('exact_address')], 'none')}))")
+def pair_difference(spark, d):
+    e = _ents(spark, d)
+    return B.pairs(e, [B.rule("exact_name")], "none").subtract(B.pairs(e, [B.rule("exact_address")], "none"))
+
+
+# ---- statistics of blocks --------------------------------------------------------------------------------
+
+
+def _freq_sql(name: str, cap: int) -> str:
+    k = f"SELECT src, {_KEY[name]} AS key FROM ent"
+    return f"SELECT * FROM (SELECT key, count(*) FILTER (src = 1) AS s1_count, count(*) FILTER (src = 2) AS target_count FROM ({k}) WHERE key <> '' GROUP BY key) WHERE s1_count BETWEEN 1 AND {cap} AND target_count BETWEEN 1 AND {cap}"
+
+
+@query("block_stats", f"{_ENT} SELECT count(*) AS distinct_keys, coalesce(sum(s1_count * target_count), 0)::BIGINT AS candidate_pairs FROM ({_freq_sql('name_core', 100)})")
+def block_stats(spark, d):
+    return B.block_statistics(_ents(spark, d), B.rule("name_core"), 100)
+
+
+@query("largest_blocks", f"{_ENT} SELECT key, s1_count, target_count, s1_count * target_count AS candidate_pairs FROM ({_freq_sql('name_core', 100)}) ORDER BY candidate_pairs DESC, key LIMIT 30")
+def largest_blocks(spark, d):
+    return B.largest_blocks(_ents(spark, d), B.rule("name_core"), 100)
+
+
+def _sweep_sql() -> str:
+    parts = [
+        f"SELECT '{n}' AS rule, {c} AS cap, count(*) AS pairs, count(t.s) AS recovered FROM (SELECT a.id AS s, b.id AS x FROM ent a JOIN ent b ON a.{_KEY[n]} = b.{_KEY[n]} AND a.{_KEY[n]} <> '' WHERE a.src = 1 AND b.src = 2"
+        f" AND a.{_KEY[n]} IN (SELECT {_KEY[n]} FROM ent WHERE src = 1 GROUP BY 1 HAVING count(*) <= {c}) AND b.{_KEY[n]} IN (SELECT {_KEY[n]} FROM ent WHERE src = 2 GROUP BY 1 HAVING count(*) <= {c})) p LEFT JOIN (SELECT DISTINCT * FROM tru) t ON p.s = t.s AND p.x = t.x"
+        for n in B.R_CAP[0] for c in B.R_CAP[1]
+    ]
+    return f"{_ENT} " + " UNION ALL ".join(parts)
+
+
+@query("cap_sensitivity", _sweep_sql())
+def cap_sensitivity(spark, d):
+    e = _ents(spark, d)
+    return B.cap_sweep(e, _truth(e))
+
+
+@query("rule_benchmark", f"""{_ENT}, p AS ({_pairs_sql(B.R_BENCH, 'none', True)}), q AS (SELECT rule, s, x FROM p UNION SELECT 'COMBINED', s, x FROM p)
+ SELECT rule, count(*) AS pairs, count(DISTINCT q.s) AS s1_with_candidates, count(t.s) AS hits FROM q LEFT JOIN (SELECT DISTINCT * FROM tru) t ON q.s = t.s AND q.x = t.x GROUP BY rule""")
+def rule_benchmark(spark, d):
+    e = _ents(spark, d)
+    return E.rule_benchmark(B.rule_pairs(e, B.R_BENCH, "none"), _truth(e))
+
+
+@query("cumulative_recall", f"""{_ENT}, p AS ({_pairs_sql(B.R_MAIN, 'both', True)}), f AS (SELECT s, x, min(no) AS no FROM p GROUP BY s, x),
+ g AS (SELECT no, count(*) AS new_pairs, count(t.s) AS new_hits FROM f LEFT JOIN (SELECT DISTINCT * FROM tru) t ON f.s = t.s AND f.x = t.x GROUP BY no)
+ SELECT no, new_pairs, new_hits, (sum(new_pairs) OVER (ORDER BY no))::BIGINT AS pairs, (sum(new_hits) OVER (ORDER BY no))::BIGINT AS hits FROM g""")
+def cumulative_recall(spark, d):
+    e = _ents(spark, d)
+    return E.cumulative_recall(B.rule_pairs(e, B.R_MAIN), _truth(e))
+
+
+# ---- truth and metrics -----------------------------------------------------------------------------------
+
+
+@query("truth_pairs", f"{_ENT} SELECT DISTINCT {_AS_PAIR} FROM tru")
+def truth_pairs(spark, d):
+    e = _ents(spark, d)
+    return E.truth_pairs(sinks.id_lists(_s1(e), _truth(e), "matched_entity_ids"))
+
+
+@query("recall_by_target", "".join((f"{_ENT}, p AS (SELECT * FROM ({_pairs_sql(B.R_MAIN, 'both')})), t AS (SELECT DISTINCT * FROM tru), n AS (SELECT count(*) AS c FROM ent WHERE src = 1) ", " UNION ALL ".join(
+    f"SELECT '{g}' AS target, np AS candidate_pairs, nt AS true_pairs, nf AS found_pairs, ns AS s1_with_candidates, CASE WHEN nt > 0 THEN round(nf / nt, 6) END AS recall, round(np / n.c, 6) AS avg_candidates FROM n, (SELECT count(*) AS np, count(DISTINCT s) AS ns FROM p WHERE x LIKE '{g}-%'), (SELECT count(*) AS nt FROM t WHERE x LIKE '{g}-%'), (SELECT count(*) AS nf FROM p JOIN t ON p.s = t.s AND p.x = t.x WHERE p.x LIKE '{g}-%')"
+    for g in ("S2", "S3")))))
+def recall_by_target(spark, d):
+    e = _ents(spark, d)
+    p, t = B.pairs(e, B.R_MAIN), _truth(e)
+    rows = [E.recall(p.filter(F.col("target_entity_id").startswith(f"{g}-")), t.filter(F.col("target_entity_id").startswith(f"{g}-")), _s1(e)).withColumn("target", F.lit(g)) for g in ("S2", "S3")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("macro_f05", f"""{_ENT}, p AS (SELECT DISTINCT * FROM ({_pairs_sql(B.R_MAIN, 'both')})), t AS (SELECT DISTINCT * FROM tru),
+ c AS (SELECT e.id, (SELECT count(*) FROM p WHERE p.s = e.id) AS np, (SELECT count(*) FROM t WHERE t.s = e.id) AS nt, (SELECT count(*) FROM p JOIN t ON p.s = t.s AND p.x = t.x WHERE p.s = e.id) AS hit FROM ent e WHERE src = 1)
+ SELECT count(*) AS n_s1, round(avg(CASE WHEN np + nt = 0 THEN 1.0::DOUBLE WHEN hit = 0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE * hit / (0.25::DOUBLE * nt + np) END), 6) AS macro_f FROM c""")
+def macro_f05(spark, d):
+    e = _ents(spark, d)
+    return E.macro_f(B.pairs(e, B.R_MAIN), _truth(e), _s1(e))
+
+
+@query("reduction_ratio", f"{_ENT}, p AS ({_pairs_sql(B.R_MAIN, 'both')}) SELECT (SELECT count(*) FROM p) AS n_pairs, round(1 - (SELECT count(*) FROM p) / (count(*) FILTER (src = 1) * count(*) FILTER (src > 1)), 6) AS reduction_ratio FROM ent")
+def reduction_ratio(spark, d):
+    e = _ents(spark, d)
+    return E.reduction(B.pairs(e, B.R_MAIN), e.filter("src = 1"), e.filter("src > 1"))
+
+
+# ---- exports, indexes and profiles -----------------------------------------------------------------------
+
+
+@query("candidate_export", f"{_ENT}, p AS ({_pairs_sql(B.R_MAIN, 'both')}) SELECT e.id AS source1_entity_id, coalesce(string_agg(x, ',' ORDER BY x), '') AS candidate_entity_ids FROM ent e LEFT JOIN p ON e.id = p.s WHERE src = 1 GROUP BY e.id")
+def candidate_export(spark, d):
+    e = _ents(spark, d)
+    return sinks.id_lists(_s1(e), B.pairs(e, B.R_MAIN))
+
+
+@query("empty_template", f"{_ENT} SELECT id AS source1_entity_id, '' AS matched_entity_ids FROM ent WHERE src = 1")
+def empty_template(spark, d):
+    return sinks.empty_template(_s1(_ents(spark, d)))
+
+
+@query("key_index", f"{_ENT} SELECT name_norm AS key, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM ent WHERE src > 1 AND name_norm <> '' GROUP BY 1")
+def key_index(spark, d):
+    t = _ents(spark, d).filter("src > 1 AND name_norm <> ''")
+    return t.groupBy(F.col("name_norm").alias("key")).agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("ids"), F.count("*").alias("n"))
+
+
+@query("index_summary", f"""{_ENT}, c AS (SELECT e.id, count(b.id) AS n FROM ent e LEFT JOIN ent b ON b.src > 1 AND e.name_norm = b.name_norm AND e.name_norm <> '' WHERE e.src = 1 GROUP BY e.id)
+ SELECT count(n) AS n, count(*) FILTER (n IS NULL) AS nulls, round(avg(n), 6) AS mean, round(stddev(n), 6) AS std, min(n)::DOUBLE AS min, round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75, max(n)::DOUBLE AS max FROM c""")
+def index_summary(spark, d):
+    e = _ents(spark, d)
+    sizes = e.filter("src > 1 AND name_norm <> ''").groupBy("name_norm").agg(F.count("*").alias("c"))
+    per = e.filter("src = 1").join(sizes, "name_norm", "left").select(F.coalesce("c", F.lit(0)).alias("n"))
+    return E.summary(per, "n")
+
+
+@query("name_profile", f"{_ENT} SELECT count(*) AS n_rows, count(DISTINCT name_norm) AS n_distinct, count(*) FILTER (name_norm = '') AS n_empty, count(*) FILTER (name_norm <> '') AS n_nonempty FROM ent")
+def name_profile(spark, d):
+    return E.frequency_profile(_ents(spark, d), "name_norm")
+
+
+@query("top_names", f"{_ENT} SELECT name_norm AS value, count(*) AS freq FROM ent WHERE name_norm <> '' GROUP BY 1 ORDER BY freq DESC, value LIMIT 20")
+def top_names(spark, d):
+    return E.top_values(_ents(spark, d), "name_norm")
+
+
+@query("country_distribution", f"{_ENT} SELECT country, src, count(*) AS n FROM ent GROUP BY ALL")
+def country_distribution(spark, d):
+    return _ents(spark, d).groupBy("country", "src").agg(F.count("*").alias("n"))
+
+
+@query("null_counts", "SELECT * FROM (SELECT 'c_custkey' AS column_name, 'bigint' AS dtype, count(*) FILTER (c_custkey IS NULL) AS nulls FROM customer UNION ALL SELECT 'c_name', 'string', count(*) FILTER (c_name IS NULL) FROM customer UNION ALL SELECT 'c_acctbal', 'double', count(*) FILTER (c_acctbal IS NULL) FROM customer)")
+def null_counts(spark, d):
+    return E.null_counts(readers.parquet(spark, f"{d}/customer.parquet", ["c_custkey", "c_name", "c_acctbal"]))
+
+
+@query("part_name_profile", "SELECT count(*) AS n_rows, count(DISTINCT p_name) AS n_distinct, count(*) FILTER (p_name = '') AS n_empty, count(*) FILTER (p_name <> '') AS n_nonempty FROM part")
+def part_name_profile(spark, d):
+    return E.frequency_profile(readers.parquet(spark, f"{d}/part.parquet", ["p_name"]), "p_name")
+
+
+# ---- validation ------------------------------------------------------------------------------------------
+
+_FAULTY = """l AS (SELECT CASE WHEN doc_id % 30 = 0 THEN id WHEN doc_id % 42 = 0 THEN id || chr(9) || 'S1-1,X9,S2-00000001,S2-00000001' WHEN doc_id % 66 = 0 THEN id || 'q' || chr(9) || 'S3-99999999' WHEN doc_id % 78 = 0 THEN '' ELSE id || chr(9) || 'S2-00000001,S3-00000002' END AS value, id
+  FROM (SELECT doc_id, 'S1-' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT 'S1-00000003' || chr(9) || 'S2-00000001', '')"""
+
+
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a result file with each kind of fault."""
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id").filter("doc_id % 3 = 0")
+    i = F.concat(F.lit("S1-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    by = lambda n: F.col("doc_id") % n == 0
+    value = (
+        F.when(by(30), i).when(by(42), F.concat(i, F.lit("\tS1-1,X9,S2-00000001,S2-00000001"))).when(by(66), F.concat(i, F.lit("q\tS3-99999999")))
+        .when(by(78), F.lit("")).otherwise(F.concat(i, F.lit("\tS2-00000001,S3-00000002")))
+    )
+    return ids.select(value.alias("value")).unionByName(spark.createDataFrame([("S1-00000003\tS2-00000001",)], "value string"))
+
+
+@query("validate_findings", f"""WITH {_FAULTY}, r AS (SELECT value, split_part(value, chr(9), 1) AS id, string_split(split_part(value, chr(9), 2), ',') AS ids FROM l WHERE contains(value, chr(9))),
+ e AS (SELECT id, unnest(ids) AS t FROM r), q AS (SELECT 'S1-' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents WHERE doc_id % 3 = 0), k AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS t FROM documents WHERE doc_id % 3 > 0),
+ f AS (SELECT 'no_tab' AS c, value AS x FROM l WHERE value <> '' AND NOT contains(value, chr(9)) UNION ALL SELECT 'duplicate_row', id FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'repeated_id', id FROM r WHERE len(ids) <> len(list_distinct(ids))
+  UNION ALL SELECT 'self_match', t FROM e WHERE t LIKE 'S1-%' UNION ALL SELECT 'bad_prefix', t FROM e WHERE NOT regexp_matches(t, '^S[123]-') UNION ALL SELECT 'missing_s1', id FROM q WHERE id NOT IN (SELECT id FROM r)
+  UNION ALL SELECT 'unexpected_s1', id FROM (SELECT DISTINCT id FROM r) WHERE id NOT IN (SELECT id FROM q) UNION ALL SELECT 'unknown_id', t FROM e WHERE regexp_matches(t, '^S[23]-') AND t NOT IN (SELECT t FROM k)),
+ g AS (SELECT c, x, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY x) AS rn FROM f GROUP BY c, x)
+ SELECT c AS "check", sum(n)::BIGINT AS n, string_agg(x, ';' ORDER BY x) FILTER (rn <= 5) AS examples FROM g GROUP BY c""")
+def validate_findings(spark, d):
+    e = _ents(spark, d)
+    return E.findings(_faulty(spark, d), _s1(e), e.filter("src > 1").select(F.col("entity_id").alias("target_entity_id")))
+
+
+@query("quick_check", f"""WITH {_FAULTY}, r AS (SELECT value, contains(value, chr(9)) AS tab, CASE WHEN contains(value, chr(9)) THEN len(string_split(split_part(value, chr(9), 2), ',')) ELSE 0 END AS k FROM l WHERE value <> '')
+ SELECT count(*) AS n_rows, sum(k)::BIGINT AS n_pairs, CASE WHEN count(*) FILTER (NOT tab) > 0 THEN 'columns' END AS first_fault, round(sum(k) / count(*), 6) AS avg_candidates FROM r""")
+def quick_check(spark, d):
+    return E.quick_check(_faulty(spark, d))
+
+
+@query("matched_not_in_candidates", f"{_ENT} SELECT DISTINCT {_AS_PAIR} FROM tru WHERE NOT EXISTS (SELECT 1 FROM ({_pairs_sql(B.R_MAIN, 'both')}) p WHERE p.s = tru.s AND p.x = tru.x)")
+def matched_not_in_candidates(spark, d):
+    e = _ents(spark, d)
+    return E.not_in_candidates(_truth(e), B.pairs(e, B.R_MAIN))
+
+
+# ---- fuzzy retrieval -------------------------------------------------------------------------------------
+
+
+def _bucket_sql(sigs: list[tuple[str, str]], cap: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT src, id, '{k}' AS kind, {s} AS sig FROM ent" for k, s in sigs)
+    return f"""{_ENT}, g AS (SELECT * FROM ({rows}) WHERE sig <> ''), h AS (SELECT kind, sig FROM g WHERE src = 2 GROUP BY ALL HAVING count(*) <= {cap})
+ SELECT DISTINCT a.id AS source1_entity_id, b.id AS target_entity_id FROM g a JOIN g b ON a.kind = b.kind AND a.sig = b.sig JOIN h ON h.kind = b.kind AND h.sig = b.sig WHERE a.src = 1 AND b.src = 2"""
+
+
+@query("signature_buckets", _bucket_sql([(f"{k}{n}", f"{f}(name_compact, {n})") for n in Z.SIGNATURE_LENGTHS for k, f in (("p", "left"), ("s", "right"))], Z.SIGNATURE_CAP))
+def signature_buckets(spark, d):
+    return Z.signature_buckets(_ents(spark, d)).select(*E.PAIR)
+
+
+@query("prefix_buckets", _bucket_sql([(f"p{n}", f"CASE WHEN length(name_compact) >= {n} THEN left(name_compact, {n}) END") for n in Z.PREFIX_LENGTHS], Z.PREFIX_CAP))
+def prefix_buckets(spark, d):
+    return Z.prefix_buckets(_ents(spark, d)).select(*E.PAIR)
+
+
+@query("fuzzy_ratio_pairs")
+def fuzzy_ratio_pairs(spark, d):
+    return Z.signature_pairs(_ents(spark, d))
+
+
+@query("fuzzy_partial_pairs")
+def fuzzy_partial_pairs(spark, d):
+    return Z.prefix_pairs(_ents(spark, d))
+
+
+@query("exact_and_fuzzy_pairs")
+def exact_and_fuzzy_pairs(spark, d):
+    e = _ents(spark, d)
+    fuzzy = Z.prefix_pairs(e, 2).unionByName(Z.prefix_pairs(e, 3)).select(*E.PAIR)
+    return B.pairs(e, B.R_HIGH).unionByName(fuzzy).distinct()
+
+
+_SIM_PAIRS = f"SELECT s, x FROM ({_pairs_sql([B.rule('prefix6_country', 6, 15)], 'both')})"
+
+
+@query("pair_similarities", f"""{_ENT}, y AS (SELECT id, regexp_replace(name_norm, '[^ -~]', '', 'g') AS n FROM ent) SELECT s AS source1_entity_id, x AS target_entity_id, levenshtein(a.n, b.n) AS edit_distance, round(jaro_winkler_similarity(a.n, b.n), 6) AS jaro_winkler,
+ round(len(list_intersect(list_distinct(string_split(a.n, ' ')), string_split(b.n, ' '))) / len(list_distinct(list_concat(string_split(a.n, ' '), string_split(b.n, ' ')))), 6) AS jaccard
+ FROM ({_SIM_PAIRS}) p JOIN y a ON a.id = p.s JOIN y b ON b.id = p.x""")
+def pair_similarities(spark, d):
+    e = _ents(spark, d)  # ASCII only: the SQL engine measures bytes
+    n = lambda s, k, c: e.filter(s).select(F.col("entity_id").alias(k), F.regexp_replace("name_norm", "[^ -~]", "").alias(c))
+    p = B.pairs(e, [B.rule("prefix6_country", 6, 15)]).join(n("src = 1", "source1_entity_id", "a"), "source1_entity_id").join(n("src > 1", "target_entity_id", "b"), "target_entity_id")
+    return p.select(*E.PAIR, F.levenshtein("a", "b").cast("long").alias("edit_distance"), F.round(S.jaro_winkler("a", "b"), 6).alias("jaro_winkler"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+@query("tfidf_top20", f"""{_ENT}, g AS (SELECT src, id, unnest(list_concat(list_transform(range(1, greatest(length(name_norm) - 1, 1)::BIGINT), lambda i: substr(name_norm, i, 3)), list_transform(range(1, greatest(length(name_norm) - 2, 1)::BIGINT), lambda i: substr(name_norm, i, 4)), list_transform(range(1, greatest(length(name_norm) - 3, 1)::BIGINT), lambda i: substr(name_norm, i, 5)))) AS gram FROM ent WHERE name_norm <> ''),
+ f AS (SELECT src, id, gram, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM ent WHERE src > 1 AND name_norm <> ''), v AS (SELECT gram, ln((1 + n.n) / (1 + count(*))) + 1 AS idf FROM f, n WHERE src > 1 GROUP BY gram, n.n HAVING count(*) >= 2),
+ w0 AS (SELECT src, id, gram, (1 + ln(tf)) * idf AS w FROM f JOIN v USING (gram)), w AS (SELECT src, id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w0),
+ c AS (SELECT a.id AS s, b.id AS x, round(sum(a.w * b.w), 6) AS sim FROM w a JOIN w b ON a.gram = b.gram WHERE a.src = 1 AND b.src > 1 GROUP BY ALL),
+ r AS (SELECT s, x, sim, row_number() OVER (PARTITION BY s ORDER BY sim DESC, x) AS rank FROM c) SELECT s AS source1_entity_id, x AS target_entity_id, rank::INT AS rank, sim AS similarity FROM r WHERE rank <= 20""")
+def tfidf_top20(spark, d):
+    e = _ents(spark, d).filter("name_norm <> ''").select("src", F.col("entity_id").alias("id"), F.col("name_norm").alias("name"))
+    return Z.tfidf_top(e.filter("src = 1"), e.filter("src > 1"))
+
+
+@query("sampled_recall", f"""{_ENT}, m AS (SELECT id FROM ent WHERE src = 1 ORDER BY md5(id || '42'), id LIMIT 100), p AS ({_pairs_sql(B.R_BENCH, 'none')}), t AS (SELECT DISTINCT * FROM tru WHERE s IN (SELECT id FROM m))
+ SELECT (SELECT count(*) FROM p WHERE s IN (SELECT id FROM m)) AS candidate_pairs, (SELECT count(*) FROM t) AS true_pairs, (SELECT count(*) FROM t JOIN p ON t.s = p.s AND t.x = p.x) AS found_pairs""")
+def sampled_recall(spark, d):
+    e = _ents(spark, d)
+    m = Z.sample_entities(e.filter("src = 1"), 100).select(F.col("entity_id").alias("source1_entity_id"))
+    p, t = (x.join(m, "source1_entity_id", "left_semi") for x in (B.pairs(e, B.R_BENCH, "none"), _truth(e)))
+    return E.recall(p, t, m).select("candidate_pairs", "true_pairs", "found_pairs")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
