@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from linkspark.llm.common import prepare, read, small, text_of, written
 from linkspark.llm.hilbert import hilbert_numpy
 
-SEQUENCE, END_ID, DIMS, BITS, SPAN, SEED, CACHE = 2048, 1, 3, 10, 6.0, 11, 700_000
+SEQUENCE, END_ID, DIMS, BITS, SPAN, SEED = 2048, 1, 3, 10, 6.0, 11
+#: Entries a worker keeps: of runs, which are cheap to put together again, and of stems, which are not.
+RUNS, STEMS = 600_000, 1_500_000
 #: Latin letters, then ASCII marks without the apostrophe and angle brackets: two tokens' worth that never join.
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,\-./:;=?@^_`|~()\[\]{}\"\\]*)").fullmatch
 
@@ -70,8 +72,9 @@ class Words:
                 self.stems[p] = ids[cuts[i] : cuts[i + 1]].tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.runs) > CACHE or len(self.stems) > CACHE:
+        if len(self.runs) > RUNS:
             self.runs.clear()
+        if len(self.stems) > STEMS:
             self.stems.clear()
         split = [t.split() for t in texts]
         got = [[*map(self.runs.get, words)] for words in split]
