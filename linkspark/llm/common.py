@@ -46,16 +46,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and later reads prune its columns."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     schema = df.schema
     return spark.read.schema(schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most so many rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

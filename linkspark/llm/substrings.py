@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import prepare, read, row_key, text_of, written
+from linkspark.llm.common import delete, new_path, prepare, read, row_key, text_of, written
 from linkspark.llm.packing import places
 
 LENGTH, GRAM, BATCHES, HOT, FLUSH, SALTS = 100, 40, 4, 512, 1_000_000, 64
@@ -144,10 +144,10 @@ def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         sizes = np.diff(np.r_[first, len(h)])
         hot = np.repeat(sizes > HOT, sizes)
-        yield _rows(ENTRY, h, ctx, doc, pos, end, np.where(hot, 1 + (ctx % SALTS), 0))
+        yield _rows(ENTRY, h, ctx, doc, pos, end - pos, np.where(hot, 1 + (ctx % SALTS), 0))
         notices = h[first[sizes > HOT]]
         if len(notices):
-            yield _rows(ENTRY, notices, 0, np.full(len(notices), -(1 << 62)), -1, -1, 0)
+            yield _rows(ENTRY, notices, 0, np.full(len(notices), -(1 << 62)), -1, 0, 0)
 
     def some(docs: list[int], texts: list[bytes]) -> None:
         text, pos, h, ctx = anchors(texts)
@@ -182,6 +182,7 @@ def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if past.all():
                 return
             kind, h, ctx, doc, pos, end, salt = (x[~past] for x in (kind, h, ctx, doc, pos, end, salt))
+        end = pos + end  # of entries and levels: kept as a length, which compresses better
         group = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
         number = np.cumsum(group) - 1
         n = number[-1] + 1
@@ -202,7 +203,7 @@ def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tell = notice & (kind == ENTRY)
         keep = new | (tell & ~np.r_[False, (notice[:-1] & ~group[1:])])
         if keep.any():
-            yield _rows(LEVEL, h[keep], ctx[keep], doc[keep], pos[keep], end[keep], salt[keep])
+            yield _rows(LEVEL, h[keep], ctx[keep], doc[keep], pos[keep], (end - pos)[keep], salt[keep])
 
     held, n = [], 0
     for batch in it:
@@ -329,26 +330,37 @@ class SuffixIndex:
     """Levels of a growing corpus. `add` takes batches of (doc, text) whose docs are larger than all before."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.found = spark, [], []
+        self.spark, self.levels, self.found = spark, [], []  # levels: (size, table, path)
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
-        """last: no batch will follow, so no level is written."""
+        """last: no batch will follow, so no level is written and all are removed."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            (size, a, old_a), (_, b, old_b) = self.levels.pop(), self.levels.pop()
             both = a.unionByName(b).repartition("h", "salt").sortWithinPartitions("salt", "h", "ctx", "doc", "pos")
-            self.levels.append((size + 1, written(both, f"suffix-level{size + 1}")))
+            path = new_path(self.spark, f"suffix-level{size + 1}")
+            self.levels.append((size + 1, written(both, "", path=path), path))
+            for old in (old_a, old_b):
+                delete(self.spark, old)
+        self._scan(docs, last)
+        if last:
+            for _, _, path in self.levels:
+                delete(self.spark, path)
+            self.levels = []
+        _release(self.spark)
+
+    def _scan(self, docs: DataFrame, last: bool) -> None:
         rows = docs.mapInArrow(suffixes, TYPES)
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             rows = rows.unionByName(level)
         # what a partition found by itself passes through the scan, dealt by document
         salt = F.when(F.col("kind") == COVERED, F.pmod("doc", F.lit(100)).cast("byte")).otherwise(F.col("salt"))
         dealt = rows.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("salt", "h", "ctx", "doc", "pos")
         out = dealt.mapInArrow(scan, TYPES)
-        out = written(out.filter(F.col("kind") != LEVEL) if last else out, "suffix-scan", "kind")
+        path = new_path(self.spark, "suffix-scan")
+        out = written(out.filter(F.col("kind") != LEVEL) if last else out, "", "kind", path)
         self.found.append(out.filter(F.col("kind") != LEVEL))
         if not last:
-            self.levels.append((0, out.filter(F.col("kind") == LEVEL)))
-        _release(self.spark)
+            self.levels.append((0, out.filter(F.col("kind") == LEVEL), f"{path}/kind={LEVEL}"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
