@@ -32,7 +32,7 @@ from linkspark.llm.common import on_key, prepare, read, row_key, text_of, writte
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 ORDER, SYMBOLS, MOST_LANGS = 4, 32, 16
-BAND, LEAST_SPREAD, SHORT = 6.0, 0.03, 6.0
+BAND, LEAST_SPREAD, SHORT = 2.0, 0.02, 3.2
 SIZE = SYMBOLS**ORDER
 SPACE = 28
 
