@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,10 +143,9 @@ def not_in_candidates(matched: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def validate_file(spark: SparkSession, path: str, column: str, required: DataFrame, known: DataFrame | None = None) -> dict:
     """{"passed", "errors": {check: (n, examples)}} of a file: presence, encoding and header first, which end it, then its lines."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
     try:
-        n = files.agg(F.sum("length")).first()[0]
-    except Exception:  # the path does not exist
+        n = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    except AnalysisException:  # the path does not exist
         n = None
     if not n:
         return {"passed": False, "errors": {"missing_or_empty": (1, path)}}
