@@ -30,8 +30,9 @@ from linkspark.llm.hilbert import hilbert_numpy
 SEQUENCE, END_ID, DIMS, BITS, SPAN, SEED = 2048, 1, 3, 10, 6.0, 11
 #: Entries a worker keeps: of runs, which are cheap to put together again, and of stems, which are not.
 RUNS, STEMS = 600_000, 1_500_000
-#: Latin letters, then ASCII marks without the apostrophe and angle brackets: two tokens' worth that never join.
-_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,\-./:;=?@^_`|~()\[\]{}\"\\]*)").fullmatch
+#: ASCII marks without the apostrophe and angle brackets: at the end of a run of letters they are a token's worth of their own.
+_MARKS = b"!#$%&*+,-./:;=?@^_`|~()[]{}\"\\"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -50,8 +51,10 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(self.vocabulary + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.runs: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -59,17 +62,45 @@ class Words:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces without white space, in few calls: offsets tell which piece a token belongs to."""
+    def _learn(self, pieces: list[bytes], words: bool) -> None:
+        """Ids of pieces without white space, in few calls. words: each piece is letters only, so one token ends it;
+        otherwise offsets tell which piece a token belongs to."""
         for at in range(0, len(pieces), 2000):
             part = pieces[at : at + 2000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in part)])
-            owner = np.searchsorted(starts, [a for a, _ in got.offsets], side="right") - 1
-            ids = np.array(got.ids, "<u4")
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            for i, p in enumerate(part):
-                self.stems[p] = ids[cuts[i] : cuts[i + 1]].tobytes()
+            if words:
+                got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
+                ids = np.array(got.ids, "<u4")
+                cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+                if len(cuts) != len(part) + 1:
+                    self._learn(part, False)
+                    continue
+            else:
+                texts = [p.decode("utf-8", "replace") for p in part]
+                got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+                starts = np.cumsum([0, *(len(p) + 1 for p in texts)])
+                owner = np.searchsorted(starts, [a for a, _ in got.offsets], side="right") - 1
+                ids = np.array(got.ids, "<u4")
+                cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.stems.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def _add(self, missing: set[bytes]) -> None:
+        """Puts together the ids of new runs: letters and the marks after them one after the other, other runs whole."""
+        plain, pieces, others = [], [], []
+        for w in missing:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() or (core and not core.isascii() and _LETTERS(core.decode("utf-8", "replace"))):
+                plain.append(w)
+                pieces.append(core.lower())
+            else:
+                others.append(w)
+        stems, runs = self.stems, self.runs
+        marks = [w[len(p) :] for w, p in zip(plain, pieces)]
+        self._learn([*set(pieces).difference(stems)], True)
+        self._learn([m for m in {*marks, *others} if m and m not in stems], False)
+        stems.setdefault(b"", b"")
+        runs.update(zip(plain, [stems[p] + stems[m] for p, m in zip(pieces, marks)]))
+        runs.update(zip(others, map(stems.__getitem__, others)))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.runs) > RUNS:
@@ -77,25 +108,9 @@ class Words:
         if len(self.stems) > STEMS:
             self.stems.clear()
         split = [t.split() for t in texts]
-        got = [[*map(self.runs.get, words)] for words in split]
-        holes = [i for i, ids in enumerate(got) if None in ids]
-        if holes:
-            missing = {w for i in holes for w, v in zip(split[i], got[i]) if v is None}
-            parts, need = {}, {}
-            for w in missing:
-                s = w.decode("utf-8", "replace")
-                m = _STEM(s)
-                parts[w] = pieces = (m[1].lower(), m[2]) if m else (s,)
-                for p in pieces:
-                    if p and p not in self.stems:
-                        need[p] = None
-            self._learn(list(need))
-            stems = self.stems
-            for w, pieces in parts.items():
-                self.runs[w] = b"".join([stems[p] for p in pieces if p])
-            for i in holes:
-                got[i] = [*map(self.runs.__getitem__, split[i])]
-        return [b"".join(ids) for ids in got]
+        if missing := set().union(*split).difference(self.runs):
+            self._add(missing)
+        return [b"".join(map(self.runs.__getitem__, words)) for words in split]
 
 
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
