@@ -20,6 +20,7 @@ languages; repeated rows are judged each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,13 +183,13 @@ def train(docs: DataFrame, langs: dict[str, int]) -> dict[int, list[tuple[np.nda
 
 def scores(docs: DataFrame, langs: dict[str, int], models: dict) -> DataFrame:
     """_d, _th, the base counts, the model's number and the mean negative log probability nll of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared, token = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
     kinds = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("model", "int"), ("n_bytes", "bigint"), ("nll", "double")]
     out_type = pa.struct([(n, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in kinds])
 
     @F.arrow_udf(", ".join(f"{n} {t}" for n, t in kinds))
     def scored(texts: pa.Array, names: pa.Array) -> pa.Array:
-        tables = _TABLES.setdefault(id(shared.value), {})
+        tables = expanded_of(token)
         rows = []
         for text, lang in zip(texts.to_pylist(), names.to_pylist()):
             model = langs.get(lang or "", -1)
@@ -205,8 +206,15 @@ def scores(docs: DataFrame, langs: dict[str, int], models: dict) -> DataFrame:
     return docs.select(*row_key(docs), scored(text_of(docs, False), docs["lang"].cast("string")).alias("s")).select("_d", "_th", "s.*")
 
 
-#: Expanded tables of the broadcast in use, per Python worker.
-_TABLES: dict[int, dict[int, np.ndarray]] = {}
+#: Expanded tables of the broadcast in use, by its token; a Python worker keeps those of one broadcast.
+_TABLES: dict[str, dict[int, np.ndarray]] = {}
+
+
+def expanded_of(token: str) -> dict[int, np.ndarray]:
+    if token not in _TABLES:
+        _TABLES.clear()
+        _TABLES[token] = {}
+    return _TABLES[token]
 
 
 def _median(df: DataFrame, value: str) -> DataFrame:
