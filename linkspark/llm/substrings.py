@@ -36,6 +36,8 @@ from linkspark.llm.common import delete, new_path, prepare, read, row_key, text_
 from linkspark.llm.packing import places
 
 LENGTH, GRAM, BATCHES, HOT, FLUSH, SALTS = 100, 40, 4, 512, 1_000_000, 64
+#: Bytes of text that are hashed at once, and contexts that are compared at once: a worker holds some 150 and 10,000 bytes for each.
+PIECE, COMPARED = 400_000, 6_000
 REACH = LENGTH - GRAM
 SPAN = LENGTH + REACH  # bytes of a whole context
 ENTRY, COVERED, NEED, NEED_HOT, LEVEL = range(5)
@@ -161,7 +163,7 @@ def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs.append(d)
                 texts.append(t)
                 n += len(t)
-            if n > 2_000_000:
+            if n > PIECE:
                 some(docs, texts)
                 docs, texts, n = [], [], 0
         if texts:
@@ -281,7 +283,7 @@ def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append((batch.column("h").to_numpy(), batch.column("doc").to_numpy(), batch.column("pos").to_numpy(), batch.column("bytes").to_pylist()))
         n += batch.num_rows
-        if n >= 20_000:
+        if n >= COMPARED:
             h, doc, pos = (np.concatenate([x[i] for x in held]) for i in range(3))
             cut = [c for x in held for c in x[3]]
             at = int(np.argmax(h == h[-1]))
