@@ -285,3 +285,16 @@ def test_pipeline_runs(spark, tmp_path):
     d.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r["doc_id"] for r in out} <= set(range(30))
+
+
+def test_cached_words_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from linkspark.llm.packing import Words, default_tokenizer
+
+    plain = Tokenizer.from_file(default_tokenizer())
+    odd = ["Été ÉTÉ. naïve, it's we'll x's' a<b> <|endoftext|> end</w>", "İstanbul ſ éa É́!  x y z\x1cq", "... -- '' ''' 12 3a4 a1, Straße×÷ ﬁt 日本語。 \U0001f600!", "", " \n\t", "word" * 500 + "!!!" * 200]
+    words = Words(default_tokenizer())
+    for texts in (odd, odd[::-1]):
+        got = words.ids([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
