@@ -1,12 +1,17 @@
 """Quality rules: base rules on counts, then an n-gram perplexity band for each language.
 
-The model is a modified Kneser-Ney model over character 4-grams of 32 symbol classes (letters without case,
-upper case, digit, white space, sentence marks, other marks, other bytes). Spark counts the n-grams of
-every document, for each language: partitions emit their distinct n-grams with counts, so what is gathered
-grows with the input, and a grouped sum merges them. Models are sorted arrays of n-gram hashes with log
-probabilities. A language has at most 32 ** 4 n-grams, and the MOST_LANGS languages with the most documents
-have a model of their own while all others share one, so the broadcast has a proven bound
-(17 models of at most 2 ** 20 entries of 12 bytes).
+The model is a modified Kneser-Ney model over character 6-grams of 32 symbol classes (letters without case,
+marks of the base rules, digit, white space, sentence marks, others, other bytes). Texts are gathered in chunks; each
+chunk lists its distinct n-grams with counts, so what is gathered grows with the input. Lists are dealt to shards by
+the symbols between an n-gram's first and last, so a shard has whole contexts and whole suffixes: it merges its
+lists into sorted arrays and finds the probabilities of orders 6 and 5 by itself. Nothing of these is collected or
+broadcast: each chunk's lists get their scores back in their shards. Orders 1 to 4 have a bound (32 ** 4
+n-grams a language; the MOST_LANGS languages with the most documents have models of their own while all others share
+one), so their sorted arrays are broadcast: 17 models of at most 2 ** 20 entries of 12 bytes.
+
+A model would know by heart a text that has many copies, and the text would look too predictable. A run of LEAST_UNIT
+symbols or more up to a sentence mark is therefore counted in the first chunk of a language that holds it only, and once. Which rows
+share a chunk follows from the partitions of the table, so scores may differ in late digits between layouts of it.
 
 A document's score is its mean negative log probability a character. A language's band is the median of
 its documents' scores, plus and minus BAND robust standard deviations and a term that widens for short
@@ -20,49 +25,115 @@ languages; repeated rows are judged each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm.common import on_key, prepare, read, row_key, text_of, written
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
-ORDER, SYMBOLS, MOST_LANGS = 4, 32, 16
+#: Orders up to LOW have a bound and are broadcast; the two above, up to ORDER, are looked up in their shards.
+LOW, ORDER, SYMBOLS, BITS, MOST_LANGS = 4, 6, 32, 5, 16
 BAND, LEAST_SPREAD, SHORT = 2.0, 0.02, 3.2
-SIZE = SYMBOLS**ORDER
-SPACE = 28
+SIZE = SYMBOLS**LOW
+SPACE, MARK = 28, 29
+PAD = bytes([SPACE]) * (ORDER - 1)
+#: Texts gathered in a chunk, and bytes of text for one shard of the n-grams.
+CHUNK, SHARD_BYTES, LEAST_SHARDS = 4 << 20, 32 << 20, 12
+#: A run of so many symbols up to a sentence mark is counted once, however many texts repeat it.
+LEAST_UNIT = 32
 
 
 def _classes() -> np.ndarray:
-    """Symbol of each byte: letters 0-25, upper case 26, digit 27, white space 28, sentence marks 29, others 30, >= 0x80 31."""
-    of = np.full(256, 30, np.int32)
+    """Symbol of each byte: letters without case 0-25, marks of the base rules 26, digit 27, white space 28, sentence marks 29, others 30, >= 0x80 31."""
+    of = np.full(256, 30, np.uint8)
     of[128:] = 31
-    of[ord("a") : ord("z") + 1] = np.arange(26)
-    of[ord("A") : ord("Z") + 1] = 26
+    of[ord("a") : ord("z") + 1] = of[ord("A") : ord("Z") + 1] = np.arange(26)
+    of[[ord(c) for c in "#*$%&|<>"]] = 26
     of[ord("0") : ord("9") + 1] = 27
-    of[[32, *range(9, 14)]] = 28
-    of[[ord(c) for c in ".,;:?!'\"-()"]] = 29
+    of[[32, *range(9, 14)]] = SPACE
+    of[[ord(c) for c in ".,;:?!'\"-()"]] = MARK
     return of
 
 
-CLASS = _classes()
+CLASS_OF = _classes().tobytes()
 
 
-def codes(text: bytes) -> np.ndarray:
-    """The code of the n-gram that ends at each byte; the text is preceded by white space."""
-    s = np.concatenate([np.full(ORDER - 1, SPACE, np.int32), CLASS[np.frombuffer(text, np.uint8)]])
-    out = s[: len(s) - ORDER + 1].copy()
-    for i in range(1, ORDER):
-        out *= SYMBOLS
-        out += s[i : len(s) - ORDER + 1 + i]
+def codes(symbols: np.ndarray) -> np.ndarray:
+    """The code of each ORDER-gram of symbols, by the place of its first symbol."""
+    n = max(len(symbols) - ORDER + 1, 0)
+    out = np.zeros(n, np.int32)
+    for i in range(ORDER):
+        out <<= BITS
+        out |= symbols[i : n + i]
     return out
 
 
+def starts_of(lengths: list[int]) -> np.ndarray:
+    """Where each text of a chunk starts, with the PAD before it."""
+    return np.cumsum([0, *(n + len(PAD) for n in lengths[:-1])])
+
+
+def in_texts(s: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Which symbols of a chunk belong to texts and not to the PAD before each."""
+    inside = np.ones(len(s), bool)
+    for i in range(len(PAD)):
+        inside[starts_of(lengths) + i] = False
+    return inside
+
+
+def gram_codes(s: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Codes of the n-grams that end at each symbol of a chunk's texts."""
+    return codes(s)[in_texts(s, lengths)[ORDER - 1 :]]
+
+
+def units(s: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and 64-bit hashes of a chunk's units: runs of symbols up to a sentence mark or the end of a text."""
+    cut = np.zeros(len(s), bool)
+    cut[1:] = s[:-1] == MARK
+    cut[starts_of(lengths)] = True
+    first = np.flatnonzero(cut)
+    size = np.diff(first, append=len(s))
+    powers = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    h = (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= powers[np.arange(len(s)) - np.repeat(first, size)]
+    h = np.add.reduceat(h, first)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return size, h ^ (h >> np.uint64(29))
+
+
+def symbols_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers, their byte planes apart and compressed."""
+    return zstandard.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    return pack(np.diff(numbers, prepend=0))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
+
+
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if not text:
@@ -102,46 +173,234 @@ def languages(docs: DataFrame) -> dict[str, int]:
     return {r["l"]: i for i, r in enumerate(top)}
 
 
-def count_ngrams(docs: DataFrame, langs: dict[str, int]) -> DataFrame:
-    """(model, code, n) over all documents."""
+def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFrame:
+    """chunk, model, symbols, lengths, info: texts of one model as symbols, `least` bytes or all of a task, and
+    what is known of each text (its key and base counts)."""
+    one = "struct<_d: bigint, _th: bigint, n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, n_bytes: bigint>"
+    info = pa.struct([(n, pa.int64()) for n in re.findall(r"(\w+): bigint", one)])
+    schema = pa.schema([("chunk", pa.string()), ("model", pa.int32()), ("symbols", pa.binary()), ("lengths", pa.list_(pa.int32())), ("info", pa.list_(info))])
+
+    def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[int, tuple[list[bytes], list[dict]]] = {}
+
+        def flushed(m: int) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            parts, known = held.pop(m)
+            lengths = [k["n_bytes"] for k in known]
+            return pa.RecordBatch.from_pylist([{"chunk": f"{task}-{made}", "model": m, "symbols": zstandard.compress(b"".join(parts)), "lengths": lengths, "info": known}], schema)
+
+        sizes: dict[int, int] = {}
+        for batch in it:
+            for lang, text, d, th in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "_d", "_th"))):
+                m = langs.get(lang or "", -1)
+                raw = (text or "").encode()
+                parts, known = held.setdefault(m, ([], []))
+                parts.append(PAD + raw.translate(CLASS_OF))
+                known.append(dict(zip(info.names, (d, th, *base_counts(text), len(raw)))))
+                sizes[m] = sizes.get(m, 0) + len(raw) + len(PAD)
+                if sizes[m] >= least:
+                    sizes[m] = 0
+                    yield flushed(m)
+        for m in list(held):
+            yield flushed(m)
+
+    few = docs.select(docs["lang"].cast("string").alias("lang"), text_of(docs, False).alias("text"), *row_key(docs))
+    return few.mapInArrow(gathered, f"chunk string, model int, symbols binary, lengths array<int>, info array<{one}>")
+
+
+def shard_order(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted codes by shard then code, and where each shard starts. A shard holds all n-grams with the
+    same symbols between the first and the last, so it has whole contexts and whole suffixes."""
+    middle = (grams >> BITS) & (SIZE - 1)
+    shard = ((middle.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+
+
+def long_units(size: np.ndarray, hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the long units by shard then hash, and where each shard starts."""
+    h = np.unique(hashes[size >= LEAST_UNIT])
+    order = np.argsort(h % np.uint64(shards), kind="stable")
+    return h[order], np.searchsorted((h % np.uint64(shards))[order], np.arange(shards + 1, dtype=np.uint64))
+
+
+def unit_lists(parts: DataFrame, shards: int) -> DataFrame:
+    """model, shard, chunk, hashes: each chunk's distinct long units, one list a shard."""
+    schema = pa.schema([("model", pa.int32()), ("shard", pa.int32()), ("chunk", pa.string()), ("hashes", pa.binary())])
+
+    def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for chunk, m, data, lengths in zip(*(batch.column(c).to_pylist() for c in ("chunk", "model", "symbols", "lengths"))):
+                h, at = long_units(*units(symbols_of(data), lengths), shards)
+                yield pa.RecordBatch.from_pylist([{"model": m, "shard": int(k), "chunk": chunk, "hashes": h[at[k] : at[k + 1]].tobytes()} for k in np.flatnonzero(np.diff(at))], schema)
+
+    return parts.select("chunk", "model", "symbols", "lengths").mapInArrow(listed, "model int, shard int, chunk string, hashes binary")
+
+
+def unit_owners(lists: DataFrame) -> DataFrame:
+    """chunk, shard, own: for each unit of a list, if its chunk is the first of its model that holds the unit."""
+
+    def owned(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("chunk")
+        every = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
+        own = np.zeros(sum(map(len, every)), bool)
+        own[np.unique(np.concatenate(every), return_index=True)[1]] = True
+        ends = np.cumsum([len(x) for x in every])
+        return pd.DataFrame({"chunk": part["chunk"], "shard": part["shard"], "own": [np.packbits(x).tobytes() for x in np.split(own, ends[:-1])]})
+
+    return lists.groupBy("model", "shard").applyInPandas(owned, "chunk string, shard int, own binary")
+
+
+def counted_symbols(s: np.ndarray, lengths: list[int], own: pd.DataFrame, shards: int) -> np.ndarray:
+    """Which symbols of a chunk are counted: those of short units, and of each long unit that it owns, once."""
+    size, hashes = units(s, lengths)
+    h, at = long_units(size, hashes, shards)
+    flags = np.zeros(len(h), bool)
+    for k, bits in zip(own["shard"], own["own"]):
+        flags[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[k + 1] - at[k]))
+    once = np.zeros(len(hashes), bool)
+    once[np.unique(hashes, return_index=True)[1]] = True
+    return np.repeat((size < LEAST_UNIT) | once & np.isin(hashes, h[flags]), size)
+
+
+def gram_lists(parts: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
+    """model, shard, chunk, codes, counts: each chunk's distinct n-grams, one list a shard. N-grams of repeated
+    units that the chunk does not own are listed, as they get scores, but do not count."""
+
+    def listed(whole: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        r = whole.iloc[0]
+        s, lengths = symbols_of(r["symbols"]), list(r["lengths"])
+        grams, at = np.unique(gram_codes(s, lengths), return_inverse=True)
+        n = np.bincount(at.reshape(-1), weights=counted_symbols(s, lengths, own, shards)[in_texts(s, lengths)], minlength=len(grams)).astype(np.int64)
+        order, at = shard_order(grams, shards)
+        rows = []
+        for k in np.flatnonzero(np.diff(at)):
+            mine = order[at[k] : at[k + 1]]
+            rows.append((int(r["model"]), int(k), r["chunk"], pack_sorted(grams[mine]), pack(n[mine])))
+        return pd.DataFrame(rows, columns=["model", "shard", "chunk", "codes", "counts"])
+
+    few = parts.select("chunk", "model", "symbols", "lengths").groupBy("chunk")
+    return few.cogroup(owners.groupBy("chunk")).applyInPandas(listed, "model int, shard int, chunk string, codes binary, counts binary")
+
+
+def merged(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and summed counts of some lists."""
+    grams = np.concatenate([unpack_sorted(x) for x in parts["codes"]])
+    n = np.concatenate([unpack(x) for x in parts["counts"]])
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    return grams[first], np.add.reduceat(n[order], first)
+
+
+def shard_totals(lists: DataFrame) -> DataFrame:
+    """model, shard, codes, counts, kinds, low_codes, low_counts: a shard's n-grams, sorted, with their counts; how
+    many n-grams of the two highest orders have counts 1 to 4; continuation counts of the order below."""
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        grams, n = merged(part)
+        five, c5 = np.unique(grams[n > 0] & (SIZE * SYMBOLS - 1), return_counts=True)
+        low, c4 = np.unique(five & (SIZE - 1), return_counts=True)
+        kinds = [int((c == i).sum()) for c in (n, c5) for i in (1, 2, 3, 4)]
+        row = {"model": int(part["model"].iloc[0]), "shard": int(part["shard"].iloc[0]), "codes": pack_sorted(grams), "counts": pack(n), "kinds": kinds, "low_codes": pack_sorted(low), "low_counts": pack(c4)}
+        return pd.DataFrame([row])
+
+    return lists.groupBy("model", "shard").applyInPandas(summed, "model int, shard int, codes binary, counts binary, kinds array<bigint>, low_codes binary, low_counts binary")
+
+
+def low_counts(totals: DataFrame) -> DataFrame:
+    """(model, code, n): continuation counts of the LOW-grams over all shards."""
     schema = pa.schema([("model", pa.int32()), ("code", pa.int32()), ("n", pa.int64())])
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in it:
-            held: dict[int, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if text:
-                    held.setdefault(langs.get(lang or "", -1), []).append(text)
-            for m, texts in held.items():
-                if m not in sums:
-                    sums[m] = np.zeros(SIZE, np.int64)
-                for at in range(0, len(texts), 64):
-                    sums[m] += np.bincount(np.concatenate([codes(t) for t in texts[at : at + 64]]), minlength=SIZE)
+            for m, grams, n in zip(*(batch.column(c).to_pylist() for c in ("model", "low_codes", "low_counts"))):
+                sums.setdefault(m, np.zeros(SIZE, np.int64))[unpack_sorted(grams)] += unpack(n)
         for m, s in sums.items():
             found = np.flatnonzero(s)
             for at in range(0, len(found), 100_000):
                 part = found[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), m, np.int32)), pa.array(part.astype(np.int32)), pa.array(s[part])], schema=schema)
 
-    few = docs.select(docs["lang"].cast("string").alias("lang"), text_of(docs).cast("binary").alias("text"))
+    few = totals.select("model", "low_codes", "low_counts")
     return few.mapInArrow(counted, "model int, code int, n bigint").groupBy("model", "code").agg(F.sum("n").alias("n"))
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Discount of counts 0, 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    ratios = ((1, n2, n1), (2, n3, n2), (3, n4, n3))
+    return np.array([0.0, *(min(max(i - (i + 1) * y * a / b, 0.05), i - 0.05) if b else 0.5 for i, a, b in ratios)])
+
+
+def interpolated(grams: np.ndarray, counts: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of sorted n-grams with whole contexts, given those of their suffixes."""
+    first = np.flatnonzero(np.diff(grams >> BITS, prepend=-1))
+    size = np.diff(first, append=len(grams))
+    off = d[np.minimum(counts, 3)]
+    total = np.add.reduceat(counts, first)
+    back = np.where(total > 0, np.add.reduceat(off, first) / np.maximum(total, 1), 1.0)
+    return (counts - off) / np.repeat(np.maximum(total, 1), size) + np.repeat(back, size) * lower
+
+
+def shard_scores(lists: DataFrame, totals: DataFrame, models: dict, kinds: dict[int, list[int]]) -> DataFrame:
+    """chunk, shard, nll: negative log probabilities of a chunk's n-grams in a shard, as 1/2000, in order of their codes."""
+    shared, token = lists.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
+
+    def looked_up(mine: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:
+            return pd.DataFrame({"chunk": [], "shard": [], "nll": []})
+        m, tables = int(mine["model"].iloc[0]), expanded_of(token)
+        if m not in tables:
+            tables[m] = np.exp(-expanded(shared.value[m]))
+        grams, n = merged(whole)
+        five, at = np.unique(grams & (SIZE * SYMBOLS - 1), return_inverse=True)
+        c5 = np.bincount(at, weights=n > 0).astype(np.int64)
+        p5 = interpolated(five, c5, discounts(*kinds[m][4:]), tables[m][five & (SIZE - 1)])
+        p = interpolated(grams, n, discounts(*kinds[m][:4]), p5[at])
+        steps = np.minimum(np.round(-2000 * np.log(p)), 65_535).astype("<u2")
+        found = [zstandard.compress(steps[np.searchsorted(grams, unpack_sorted(x))].tobytes()) for x in mine["codes"]]
+        return pd.DataFrame({"chunk": mine["chunk"], "shard": mine["shard"], "nll": found})
+
+    few = lists.select("model", "shard", "chunk", "codes").groupBy("model", "shard")
+    return few.cogroup(totals.select("model", "shard", "codes", "counts").groupBy("model", "shard")).applyInPandas(looked_up, "chunk string, shard int, nll binary")
+
+
+def text_scores(parts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
+    """model, info and the mean negative log probability nll of each text, null if it is empty."""
+
+    def scored(whole: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        r = whole.iloc[0]
+        lengths = np.asarray(r["lengths"], np.int64)
+        grams, at = np.unique(gram_codes(symbols_of(r["symbols"]), list(lengths)), return_inverse=True)
+        order, _ = shard_order(grams, shards)
+        nll = np.empty(len(grams), np.float32)
+        if len(grams):
+            nll[order] = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u2") for x in lists.sort_values("shard")["nll"]])
+        sums = np.concatenate([[0.0], np.cumsum(nll[at.reshape(-1)] / 2000.0, dtype=np.float64)])
+        ends = np.cumsum(lengths)
+        means = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)
+        return pd.DataFrame({"model": int(r["model"]), "info": list(r["info"]), "nll": [float(x) if n else None for x, n in zip(means, lengths)]})
+
+    info = parts.schema["info"].dataType.elementType.simpleString()
+    few = parts.select("chunk", "model", "symbols", "lengths", "info").groupBy("chunk")
+    return few.cogroup(found.groupBy("chunk")).applyInPandas(scored, f"model int, info {info}, nll double")
+
+
 def kneser_ney(code: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Modified Kneser-Ney: for orders 1 to ORDER, sorted n-gram codes with discounted probabilities, and sorted
-    context codes with back-off weights. Orders below the highest have continuation counts."""
+    """Modified Kneser-Ney: for orders 1 to LOW, sorted n-gram codes with discounted probabilities, and sorted
+    context codes with back-off weights. Counts of the highest of them are given, those below are continuation counts."""
     full = np.zeros(SIZE, np.int64)
     full[code] = count
     levels = [full]
-    for _ in range(ORDER - 1):
+    for _ in range(LOW - 1):
         levels.append((levels[-1].reshape(SYMBOLS, -1) > 0).sum(axis=0))
     out = []
     for c in reversed(levels):
-        n1, n2, n3, n4 = (int((c == i).sum()) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        ratios = ((1, n2, n1), (2, n3, n2), (3, n4, n3))
-        d = np.array([0.0, *(min(max(i - (i + 1) * y * a / b, 0.05), i - 0.05) if b else 0.5 for i, a, b in ratios)])
+        d = discounts(*(int((c == i).sum()) for i in (1, 2, 3, 4)))
         off = d[np.minimum(c, 3)].reshape(-1, SYMBOLS)
         total = c.reshape(-1, SYMBOLS).sum(axis=1)
         grams, contexts = np.flatnonzero(c), np.flatnonzero(total)
@@ -162,15 +421,15 @@ def expanded(levels: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return -np.log(np.maximum(p, 1e-9)).astype(np.float32)
 
 
-def train(docs: DataFrame, langs: dict[str, int]) -> dict[int, list[tuple[np.ndarray, ...]]]:
-    """The sorted arrays of each model. A group is one model's counts, at most SIZE rows."""
+def train(totals: DataFrame) -> dict[int, list[tuple[np.ndarray, ...]]]:
+    """The sorted arrays of each model's orders up to LOW. A group is one model's counts, at most SIZE rows."""
     kinds = ("<i4", "<f4", "<i4", "<f4")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         levels = kneser_ney(part["code"].to_numpy(), part["n"].to_numpy())
         return pd.DataFrame({"model": [int(part["model"].iloc[0])], "arrays": [[x.tobytes() for level in levels for x in level]]})
 
-    rows = count_ngrams(docs, langs).groupBy("model").applyInPandas(fit, "model int, arrays array<binary>").collect()
+    rows = low_counts(totals).groupBy("model").applyInPandas(fit, "model int, arrays array<binary>").collect()
     models = {}
     for r in rows:
         flat = [np.frombuffer(x, kinds[i % 4]) for i, x in enumerate(r["arrays"])]
@@ -181,29 +440,16 @@ def train(docs: DataFrame, langs: dict[str, int]) -> dict[int, list[tuple[np.nda
 # ---- scores and verdicts ---------------------------------------------------------------------------------
 
 
-def scores(docs: DataFrame, langs: dict[str, int], models: dict) -> DataFrame:
+def scores(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFrame:
     """_d, _th, the base counts, the model's number and the mean negative log probability nll of each row."""
-    shared, token = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
-    kinds = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("model", "int"), ("n_bytes", "bigint"), ("nll", "double")]
-    out_type = pa.struct([(n, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in kinds])
-
-    @F.arrow_udf(", ".join(f"{n} {t}" for n, t in kinds))
-    def scored(texts: pa.Array, names: pa.Array) -> pa.Array:
-        tables = expanded_of(token)
-        rows = []
-        for text, lang in zip(texts.to_pylist(), names.to_pylist()):
-            model = langs.get(lang or "", -1)
-            raw = (text or "").encode()
-            nll = None
-            if raw and model in shared.value:
-                if model not in tables:
-                    tables[model] = expanded(shared.value[model])
-                nll = float(tables[model][codes(raw)].mean(dtype=np.float64))
-            rows.append((*base_counts(text), model, len(raw), nll))
-        cols = list(zip(*rows)) if rows else [()] * len(kinds)
-        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_type)], fields=list(out_type))
-
-    return docs.select(*row_key(docs), scored(text_of(docs, False), docs["lang"].cast("string")).alias("s")).select("_d", "_th", "s.*")
+    parts = written(chunks(docs, langs, least), "symbols")
+    size = parts.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    shards = max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES))
+    lists = written(gram_lists(parts, unit_owners(unit_lists(parts, shards)), shards), "gram-lists")
+    totals = written(shard_totals(lists), "gram-totals")
+    kinds = {r["model"]: list(r)[1:] for r in totals.groupBy("model").agg(*(F.sum(F.col("kinds")[i]) for i in range(8))).collect()}
+    found = shard_scores(lists, totals, train(totals), kinds)
+    return text_scores(parts, found, shards).select("info.*", "model", "nll")
 
 
 #: Expanded tables of the broadcast in use, by its token; a Python worker keeps those of one broadcast.
@@ -240,7 +486,7 @@ def verdicts(docs: DataFrame, band: float = BAND) -> DataFrame:
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
     langs = languages(docs)
-    scored = written(scores(docs, langs, train(docs, langs)), "quality-scores")
+    scored = written(scores(docs, langs), "quality-scores")
     limits = written(bands(scored), "bands")  # one row a model, 17 at most
     out = scored.join(F.broadcast(limits), "model", "left")
     width = F.greatest(F.col("spread"), F.lit(LEAST_SPREAD)) * band + F.lit(SHORT) / F.sqrt(F.greatest("n_bytes", F.lit(1)))

@@ -205,6 +205,71 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def brute_perplexities(chunks):
+    """Mean negative log probability of each text by recursion over dictionaries; chunks: lists of texts as symbols."""
+    pad, order = list(rules.PAD), rules.ORDER
+    seen, counts = set(), [Counter() for _ in range(order + 1)]
+    for chunk in chunks:
+        for t in chunk:
+            s, unit = pad + t, []
+            for i, x in enumerate(s):
+                unit.append(i)
+                if x == rules.MARK or i == len(s) - 1:
+                    key = tuple(s[j] for j in unit)
+                    if len(key) < rules.LEAST_UNIT or key not in seen:
+                        counts[order].update(tuple(s[j - order + 1 : j + 1]) for j in unit if j >= len(pad))
+                    if len(key) >= rules.LEAST_UNIT:
+                        seen.add(key)
+                    unit = []
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off, total, back = [None], [None], [None]
+    for c in counts[1:]:
+        d = rules.discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4)))
+        off.append({g: d[min(v, 3)] for g, v in c.items()})
+        total.append(Counter())
+        back.append(Counter())
+        for g, v in c.items():
+            total[-1][g[:-1]] += v
+            back[-1][g[:-1]] += off[-1][g]
+
+    def p(g):
+        if not g:
+            return 1 / rules.SYMBOLS
+        k, lower = len(g), p(g[1:])
+        n = total[k][g[:-1]]
+        return (counts[k][g] - off[k].get(g, 0)) / n + back[k][g[:-1]] / n * lower if n else lower
+
+    return [[np.mean([-np.log(p(tuple((pad + t)[i : i + order]))) for i in range(len(t))]) if t else None for t in chunk] for chunk in chunks]
+
+
+@pytest.mark.parametrize("least", [1500, rules.CHUNK])
+def test_perplexities_equal_brute_force(spark, least):
+    rnd = random.Random(8)
+    base = [". ".join(words(rnd, rnd.randint(3, 30), 90) for _ in range(6)) for _ in range(12)]
+    t = [None, "", "a", "é!", "..,", *base, *base[:5], *(b.replace("w0", "W1", 1) for b in base[:4]), "ab" * 1500]
+    table = docs(spark, t).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "en").when(F.col("doc_id") % 3 == 1, "fr")).coalesce(2)
+    langs = rules.languages(table)
+    expected = {}
+    parts = sorted(rules.chunks(table, langs, least).collect(), key=lambda r: r["chunk"])
+    assert least > 1500 or len(parts) > 6
+    every = []
+    for r in parts:
+        s, at, texts = list(rules.symbols_of(r["symbols"])), 0, []
+        for n in r["lengths"]:
+            texts.append([int(x) for x in s[at + len(rules.PAD) : at + len(rules.PAD) + n]])
+            at += n + len(rules.PAD)
+        every.append(texts)
+    for m in sorted({r["model"] for r in parts}):
+        own = [i for i, r in enumerate(parts) if r["model"] == m]
+        for i, nlls in zip(own, brute_perplexities([every[i] for i in own])):
+            expected |= {row["_d"]: x for row, x in zip(parts[i]["info"], nlls)}
+    out = {r["_d"]: r["nll"] for r in rules.scores(table, langs, least).collect()}
+    assert out.keys() == expected.keys() == set(range(len(t)))
+    for d, x in expected.items():
+        assert (out[d] is None and x is None) or abs(out[d] - x) < 1e-3, d
+
+
 def test_rules_reject_gibberish_and_keep_the_rest(spark):
     rnd = random.Random(4)
     t = [words(rnd, 80, 60) for _ in range(60)] + ["".join(chr(rnd.randrange(33, 127)) for _ in range(20)) + " " + " ".join("".join(chr(rnd.randrange(33, 127)) for _ in range(9)) for _ in range(60)), "", None, "one two " * 30]
