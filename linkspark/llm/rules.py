@@ -49,6 +49,8 @@ SPACE, MARK = 28, 29
 PAD = bytes([SPACE]) * (ORDER - 1)
 #: Texts gathered in a chunk, and bytes of text for one shard of the n-grams.
 CHUNK, SHARD_BYTES, LEAST_SHARDS = 4 << 20, 32 << 20, 12
+#: Symbols are written once and dealt twice, so they are worth a slow level of compression.
+LEVEL = 12
 #: A run of so many symbols up to a sentence mark is counted once, however many texts repeat it.
 LEAST_UNIT = 32
 
@@ -189,7 +191,7 @@ def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
             made += 1
             parts, known = held.pop(m)
             lengths = [k["n_bytes"] for k in known]
-            return pa.RecordBatch.from_pylist([{"chunk": f"{task}-{made}", "model": m, "symbols": zstandard.compress(b"".join(parts)), "lengths": lengths, "info": known}], schema)
+            return pa.RecordBatch.from_pylist([{"chunk": f"{task}-{made}", "model": m, "symbols": zstandard.compress(b"".join(parts), LEVEL), "lengths": lengths, "info": known}], schema)
 
         sizes: dict[int, int] = {}
         for batch in it:
