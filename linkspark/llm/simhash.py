@@ -168,21 +168,22 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """_d, _th, fp and component_id (the smallest doc_id reachable) of every row."""
+    """_d, _th, fp, root (the fingerprint that names the component) and component_id (the smallest doc_id reachable,
+    null if no row of the component has an id) of every row."""
     prints = written(fingerprints(docs, shingle), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("_d").alias("first")), "distinct-prints")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("_d", "_th", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("_d", "_th", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The row of docs with the smallest doc_id of each group (of rows that repeat it, one)."""
     out = written(groups(docs, **options), "near-groups")
-    # the id decides alone unless rows repeat it, and then the text's hash does
-    first = out.groupBy("component_id").agg(F.min(F.struct("_d", "_th")).alias("m")).select("m._d", "m._th")
+    # the id decides alone (null after all others) unless rows repeat it, and then the text's hash does
+    first = out.groupBy("root").agg(F.min(F.struct(F.col("_d").isNull().alias("none"), "_d", "_th")).alias("m")).select("m._d", "m._th")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(docs))
     kept = on_key(keyed, first, "inner")
     copies = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_th").orderBy(F.xxhash64(F.col("_row").cast("string")))))

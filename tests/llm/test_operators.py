@@ -104,6 +104,14 @@ def test_simhash_groups(spark, texts):
     assert simhash.groups(docs(spark, [])).count() == 0
 
 
+def test_simhash_keeps_one_of_each_group_without_ids(spark):
+    rnd = random.Random(12)
+    a, b, c, d = (words(rnd, 80) for _ in range(4))
+    table = docs(spark, [a, b, c, c, c, d, d], [None, None, None, 9, 7, None, None])
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first(table).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (None, d)], key=str)
+
+
 def test_simhash_hot_buckets_lose_no_link(spark):
     rnd = random.Random(5)
     base = rnd.getrandbits(64)
