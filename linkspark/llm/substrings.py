@@ -196,13 +196,14 @@ def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _covered(doc[repeat], pos[repeat], end[repeat])
         first = fresh & ~notice
         new = first & (kind == ENTRY)
-        active = np.bincount(number[new], minlength=n) > 0
+        tell = notice & (kind == ENTRY)
+        # a notice stands for entries under other salts, which older rows of this group have not met
+        active = np.bincount(number[new | tell], minlength=n) > 0
         several = np.bincount(number[first], minlength=n) > 1
         hot = (noticed | (salt[np.flatnonzero(group)] > 0))[number]
         for want, as_kind in ((first & hot & active[number], NEED_HOT), (first & ~hot & (active & several)[number], NEED)):
             if want.any():
                 yield _rows(as_kind, h[want], ctx[want], doc[want], pos[want], end[want], 0)
-        tell = notice & (kind == ENTRY)
         keep = new | (tell & ~np.r_[False, (notice[:-1] & ~group[1:])])
         if keep.any():
             yield _rows(LEVEL, h[keep], ctx[keep], doc[keep], pos[keep], (end - pos)[keep], salt[keep])

@@ -198,6 +198,19 @@ def test_repeated_strings_with_repeated_and_null_ids(spark):
     assert substrings.dedup(docs(spark, [])).count() == 0
 
 
+def test_repeated_strings_that_become_hot_in_a_later_batch(spark):
+    rnd = random.Random(13)
+    passage = words(rnd, 30)[: substrings.LENGTH + 10]
+    around = lambda: (words(rnd, 16, 100_000), words(rnd, 16, 100_000))
+    n = substrings.HOT + 60
+    t = []
+    for i in range(2 * n):  # rare in the first batch, and in all documents of the second, in one partition
+        a, b = around()
+        t.append(f"{a} {passage if i == 3 or i >= n else ''} {b}")
+    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.dedup(docs(spark, t).coalesce(1), batches=2).collect()}
+    assert out == brute_repeats([(i, x.encode()) for i, x in enumerate(t)])
+
+
 def test_base_counts():
     assert rules.base_counts(None) == (0, 0, 0, 0, 0)
     w = "a b c d e f g h".split()
