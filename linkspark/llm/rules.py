@@ -4,10 +4,10 @@ The model is a modified Kneser-Ney model over character 6-grams of 32 symbol cla
 marks of the base rules, digit, white space, sentence marks, others, other bytes). Texts are gathered in chunks; each
 chunk lists its distinct n-grams with counts, so what is gathered grows with the input. Lists are dealt to shards by
 the symbols between an n-gram's first and last, so a shard has whole contexts and whole suffixes: it merges its
-lists into sorted arrays and finds the probabilities of orders 6 and 5 by itself. Nothing of these is collected or
-broadcast: each chunk's lists get their scores back in their shards. Orders 1 to 4 have a bound (32 ** 4
-n-grams a language; the MOST_LANGS languages with the most documents have models of their own while all others share
-one), so their sorted arrays are broadcast: 17 models of at most 2 ** 20 entries of 12 bytes.
+lists into sorted arrays and finds the probabilities of orders 6 and 5 by itself. Orders 1 to 4 have a bound (32 ** 4
+n-grams a language): one group a language makes their model and gives each shard the probabilities of the 4-grams in
+it. Nothing of the models is collected or broadcast, so every language has its own, however many there are; each
+chunk's lists get their scores back in their shards.
 
 A model would know by heart a text that has many copies, and the text would look too predictable. A run of LEAST_UNIT
 symbols or more up to a sentence mark is therefore counted in the first chunk of a language that holds it only, and once. Which rows
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +40,16 @@ from pyspark.sql import functions as F
 from linkspark.llm.common import on_key, prepare, read, row_key, text_of, written
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
-#: Orders up to LOW have a bound and are broadcast; the two above, up to ORDER, are looked up in their shards.
-LOW, ORDER, SYMBOLS, BITS, MOST_LANGS = 4, 6, 32, 5, 16
+#: Orders up to LOW have a bound and one group a language makes them; the two above, up to ORDER, are found in their shards.
+LOW, ORDER, SYMBOLS, BITS = 4, 6, 32, 5
 BAND, LEAST_SPREAD, SHORT = 2.0, 0.02, 3.2
 SIZE = SYMBOLS**LOW
 SPACE, MARK = 28, 29
 PAD = bytes([SPACE]) * (ORDER - 1)
 #: Texts gathered in a chunk, and bytes of text for one shard of the n-grams.
 CHUNK, SHARD_BYTES, LEAST_SHARDS = 4 << 20, 32 << 20, 12
+#: A task with many languages holds so many chunks' worth of texts, then gives out its largest chunk before it is full.
+MOST_HELD = 16
 #: Symbols are written once and dealt twice, so they are worth a slow level of compression.
 LEVEL = 12
 #: A run of so many symbols up to a sentence mark is counted once, however many texts repeat it.
@@ -170,9 +171,9 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def languages(docs: DataFrame) -> dict[str, int]:
-    """Names of the languages with a model of their own; the rest share model -1."""
-    top = docs.groupBy(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGS).collect()
-    return {r["l"]: i for i, r in enumerate(top)}
+    """The number of each language's model, by its name."""
+    every = docs.groupBy(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("l")).count().orderBy(F.desc("count"), "l").collect()
+    return {r["l"]: i for i, r in enumerate(every)}
 
 
 def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFrame:
@@ -190,21 +191,25 @@ def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
             nonlocal made
             made += 1
             parts, known = held.pop(m)
+            del sizes[m]
             lengths = [k["n_bytes"] for k in known]
             return pa.RecordBatch.from_pylist([{"chunk": f"{task}-{made}", "model": m, "symbols": zstandard.compress(b"".join(parts), LEVEL), "lengths": lengths, "info": known}], schema)
 
         sizes: dict[int, int] = {}
+        total = 0
         for batch in it:
             for lang, text, d, th in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "_d", "_th"))):
-                m = langs.get(lang or "", -1)
+                m = langs[lang or ""]
                 raw = (text or "").encode()
                 parts, known = held.setdefault(m, ([], []))
                 parts.append(PAD + raw.translate(CLASS_OF))
                 known.append(dict(zip(info.names, (d, th, *base_counts(text), len(raw)))))
                 sizes[m] = sizes.get(m, 0) + len(raw) + len(PAD)
-                if sizes[m] >= least:
-                    sizes[m] = 0
-                    yield flushed(m)
+                total += len(raw) + len(PAD)
+                full = m if sizes[m] >= least else max(sizes, key=sizes.get) if total >= MOST_HELD * least else None
+                if full is not None:
+                    total -= sizes[full]
+                    yield flushed(full)
         for m in list(held):
             yield flushed(m)
 
@@ -299,12 +304,13 @@ def merged(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def shard_totals(lists: DataFrame) -> DataFrame:
     """model, shard, codes, counts, kinds, low_codes, low_counts: a shard's n-grams, sorted, with their counts; how
-    many n-grams of the two highest orders have counts 1 to 4; continuation counts of the order below."""
+    many n-grams of the two highest orders have counts 1 to 4; the n-grams of the order below with continuation counts."""
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         grams, n = merged(part)
         five, c5 = np.unique(grams[n > 0] & (SIZE * SYMBOLS - 1), return_counts=True)
-        low, c4 = np.unique(five & (SIZE - 1), return_counts=True)
+        low = np.unique(grams & (SIZE - 1))  # those of n-grams that do not count too, as they get scores
+        c4 = np.bincount(np.searchsorted(low, five & (SIZE - 1)), minlength=len(low))
         kinds = [int((c == i).sum()) for c in (n, c5) for i in (1, 2, 3, 4)]
         row = {"model": int(part["model"].iloc[0]), "shard": int(part["shard"].iloc[0]), "codes": pack_sorted(grams), "counts": pack(n), "kinds": kinds, "low_codes": pack_sorted(low), "low_counts": pack(c4)}
         return pd.DataFrame([row])
@@ -348,27 +354,28 @@ def interpolated(grams: np.ndarray, counts: np.ndarray, d: np.ndarray, lower: np
     return (counts - off) / np.repeat(np.maximum(total, 1), size) + np.repeat(back, size) * lower
 
 
-def shard_scores(lists: DataFrame, totals: DataFrame, models: dict, kinds: dict[int, list[int]]) -> DataFrame:
+def shard_scores(lists: DataFrame, totals: DataFrame, models: DataFrame) -> DataFrame:
     """chunk, shard, nll: negative log probabilities of a chunk's n-grams in a shard, as 1/2000, in order of their codes."""
-    shared, token = lists.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
     def looked_up(mine: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
         if mine.empty:
             return pd.DataFrame({"chunk": [], "shard": [], "nll": []})
-        m, tables = int(mine["model"].iloc[0]), expanded_of(token)
-        if m not in tables:
-            tables[m] = np.exp(-expanded(shared.value[m]))
-        grams, n = merged(whole)
+        is_model = whole["low"].notna()
+        model = whole[is_model].iloc[0]
+        kinds = list(model["kinds"])
+        grams, n = merged(whole[~is_model])
         five, at = np.unique(grams & (SIZE * SYMBOLS - 1), return_inverse=True)
         c5 = np.bincount(at, weights=n > 0).astype(np.int64)
-        p5 = interpolated(five, c5, discounts(*kinds[m][4:]), tables[m][five & (SIZE - 1)])
-        p = interpolated(grams, n, discounts(*kinds[m][:4]), p5[at])
+        p4 = np.frombuffer(zstandard.decompress(model["low"]), "<f4")[np.searchsorted(np.unique(five & (SIZE - 1)), five & (SIZE - 1))]
+        p5 = interpolated(five, c5, discounts(*kinds[4:]), p4)
+        p = interpolated(grams, n, discounts(*kinds[:4]), p5[at])
         steps = np.minimum(np.round(-2000 * np.log(p)), 65_535).astype("<u2")
         found = [zstandard.compress(steps[np.searchsorted(grams, unpack_sorted(x))].tobytes()) for x in mine["codes"]]
         return pd.DataFrame({"chunk": mine["chunk"], "shard": mine["shard"], "nll": found})
 
     few = lists.select("model", "shard", "chunk", "codes").groupBy("model", "shard")
-    return few.cogroup(totals.select("model", "shard", "codes", "counts").groupBy("model", "shard")).applyInPandas(looked_up, "chunk string, shard int, nll binary")
+    both = totals.select("model", "shard", "codes", "counts").unionByName(models, allowMissingColumns=True)
+    return few.cogroup(both.groupBy("model", "shard")).applyInPandas(looked_up, "chunk string, shard int, nll binary")
 
 
 def text_scores(parts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
@@ -423,20 +430,18 @@ def expanded(levels: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return -np.log(np.maximum(p, 1e-9)).astype(np.float32)
 
 
-def train(totals: DataFrame) -> dict[int, list[tuple[np.ndarray, ...]]]:
-    """The sorted arrays of each model's orders up to LOW. A group is one model's counts, at most SIZE rows."""
-    kinds = ("<i4", "<f4", "<i4", "<f4")
+def train(totals: DataFrame) -> DataFrame:
+    """model, shard, low, kinds: probabilities of the LOW-grams in each shard, in order of their codes, and the model's
+    sums of kinds. A group is one model: at most SIZE counts, and the codes of its shards."""
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        levels = kneser_ney(part["code"].to_numpy(), part["n"].to_numpy())
-        return pd.DataFrame({"model": [int(part["model"].iloc[0])], "arrays": [[x.tobytes() for level in levels for x in level]]})
+    def fit(counts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        p = np.exp(-expanded(kneser_ney(counts["code"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))))
+        kinds = np.sum(np.stack(list(own["kinds"])), axis=0).tolist()
+        low = [zstandard.compress(p[unpack_sorted(x)].astype("<f4").tobytes()) for x in own["low_codes"]]
+        return pd.DataFrame({"model": own["model"], "shard": own["shard"], "low": low, "kinds": [kinds] * len(own)})
 
-    rows = low_counts(totals).groupBy("model").applyInPandas(fit, "model int, arrays array<binary>").collect()
-    models = {}
-    for r in rows:
-        flat = [np.frombuffer(x, kinds[i % 4]) for i, x in enumerate(r["arrays"])]
-        models[r["model"]] = [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]
-    return models
+    own = totals.select("model", "shard", "low_codes", "kinds").groupBy("model")
+    return low_counts(totals).groupBy("model").cogroup(own).applyInPandas(fit, "model int, shard int, low binary, kinds array<bigint>")
 
 
 # ---- scores and verdicts ---------------------------------------------------------------------------------
@@ -449,22 +454,10 @@ def scores(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
     shards = max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES))
     lists = written(gram_lists(parts, unit_owners(unit_lists(parts, shards)), shards), "gram-lists")
     totals = written(shard_totals(lists), "gram-totals")
-    kinds = {r["model"]: list(r)[1:] for r in totals.groupBy("model").agg(*(F.sum(F.col("kinds")[i]) for i in range(8))).collect()}
-    found = shard_scores(lists, totals, train(totals), kinds)
+    found = shard_scores(lists, totals, train(totals))
     return text_scores(parts, found, shards).select("info.*", "model", "nll")
 
 
-#: Expanded tables of the broadcast in use, by its token; a Python worker keeps those of one broadcast.
-_TABLES: dict[str, dict[int, np.ndarray]] = {}
-
-
-def expanded_of(token: str) -> dict[int, np.ndarray]:
-    if token not in _TABLES:
-        _TABLES.clear()
-        _TABLES[token] = {}
-    return _TABLES[token]
-
-
 def _median(df: DataFrame, value: str) -> DataFrame:
     """Median of an integer column for each model, from counts of its values."""
     bins = df.groupBy("model", value).agg(F.count("*").alias("_n"))
@@ -489,7 +482,7 @@ def verdicts(docs: DataFrame, band: float = BAND) -> DataFrame:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
     langs = languages(docs)
     scored = written(scores(docs, langs), "quality-scores")
-    limits = written(bands(scored), "bands")  # one row a model, 17 at most
+    limits = written(bands(scored), "bands")  # one row a language
     out = scored.join(F.broadcast(limits), "model", "left")
     width = F.greatest(F.col("spread"), F.lit(LEAST_SPREAD)) * band + F.lit(SHORT) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

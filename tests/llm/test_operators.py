@@ -291,6 +291,33 @@ def test_perplexities_equal_brute_force(spark, least):
         assert (out[d] is None and x is None) or abs(out[d] - x) < 1e-3, d
 
 
+def test_every_language_has_a_model_and_a_band(spark):
+    rnd = random.Random(14)
+    t, of = [], []
+    for k in range(19):  # the last languages have the fewest documents
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        own = ["".join(rnd.choices(letters, k=5)) for _ in range(40)]
+        for _ in range(6 if k < 16 else 4):
+            t.append(" ".join(rnd.choices(own, k=60)))
+            of.append(f"l{k:02d}")
+    names = F.array(*map(F.lit, of))
+    table = docs(spark, t).withColumn("lang", names[F.col("doc_id").cast("int")]).coalesce(1)
+    nll = lambda d: {r["_d"]: (r["nll"], r["middle"]) for r in rules.verdicts(d).collect()}
+    whole = nll(table)
+    assert len(rules.languages(table)) == 19 and len(whole) == len(t)
+    for x in ("l00", "l16", "l18"):
+        for d, pair in nll(table.filter(F.col("lang") == x)).items():
+            assert np.allclose(pair, whole[d], atol=1e-3), (x, d)
+
+
+def test_many_languages_in_a_task_hold_few_texts(spark):
+    t = [f"text {i} " + "x" * 100 for i in range(200)]
+    table = docs(spark, t).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 50).cast("string"))).coalesce(1)
+    parts = rules.chunks(table, rules.languages(table), 300).collect()
+    assert sorted(k["_d"] for r in parts for k in r["info"]) == list(range(200))
+    assert all(len(r["info"]) == len(r["lengths"]) for r in parts) and any(len(r["info"]) < 2 for r in parts)
+
+
 def test_rules_reject_gibberish_and_keep_the_rest(spark):
     rnd = random.Random(4)
     t = [words(rnd, 80, 60) for _ in range(60)] + ["".join(chr(rnd.randrange(33, 127)) for _ in range(20)) + " " + " ".join("".join(chr(rnd.randrange(33, 127)) for _ in range(9)) for _ in range(60)), "", None, "one two " * 30]
