@@ -363,12 +363,14 @@ def prefix_buckets(spark, d):
 
 @query("fuzzy_ratio_pairs")
 def fuzzy_ratio_pairs(spark, d):
-    return Z.signature_pairs(_ents(spark, d))
+    e = _ents(spark, d)
+    return Z.signature_pairs(e, 2).unionByName(Z.signature_pairs(e, 3))
 
 
 @query("fuzzy_partial_pairs")
 def fuzzy_partial_pairs(spark, d):
-    return Z.prefix_pairs(_ents(spark, d))
+    e = _ents(spark, d)
+    return Z.prefix_pairs(e, 2).unionByName(Z.prefix_pairs(e, 3))
 
 
 @query("exact_and_fuzzy_pairs")

@@ -139,3 +139,13 @@ def test_a_stream_makes_the_pairs_of_its_batches(spark, tmp_path):
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
     block_stream(stream, e.filter("src = 1"), [B.rule("exact_name", 1, 5)], str(tmp_path / "out"), str(tmp_path / "n"), str(tmp_path / "c")).awaitTermination()
     assert got(spark.read.parquet(str(tmp_path / "out"))) == [("S1-0", "S2-0")]
+
+
+def test_fuzzy_queries_search_both_targets(spark, tmp_path):
+    from linkspark.plans import registry
+
+    rows = [(0, "acme widgets ltd", "en"), (1, "acme widgets lt", "en"), (2, "acme widgets lttd", "en"), (5, "quite another", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("fuzzy_ratio_pairs", "fuzzy_partial_pairs"):
+        out = registry.queries()[name](spark, str(tmp_path)).select("source1_entity_id", "target_entity_id").collect()
+        assert sorted(map(tuple, out)) == [("S1-00000000", "S2-00000001"), ("S1-00000000", "S3-00000002")]
