@@ -5,8 +5,9 @@ range-sorted by that key (then by a hash of the row, so that equal texts spread
 laid end to end, and cut at every multiple of the sequence length; only the very last sequence is padded.
 Documents are tokenised once, into a written table; the order is found on its narrow columns.
 
-Words are tokenised by the `tokenizers` library once per worker and kept in a bounded cache: this tokenizer
-drops white space and splits at it, so a text's ids are those of its white-space runs one after the other.
+Words are tokenised by the `tokenizers` library when a worker first meets them and kept in a bounded table: this
+tokenizer drops white space and splits at it, so a text's ids are those of its white-space runs one after the
+other. Texts are cut into words, hashed and put together again by array operations over whole segments of a batch.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; a null doc_id is
 kept; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,11 +30,29 @@ from linkspark.llm.common import prepare, read, small, text_of, written
 from linkspark.llm.hilbert import hilbert_numpy
 
 SEQUENCE, END_ID, DIMS, BITS, SPAN, SEED = 2048, 1, 3, 10, 6.0, 11
-#: Entries a worker keeps: of runs, which are cheap to put together again, and of stems, which are not.
-RUNS, STEMS = 600_000, 1_500_000
-#: ASCII marks without the apostrophe and angle brackets: at the end of a run of letters they are a token's worth of their own.
-_MARKS = b"!#$%&*+,-./:;=?@^_`|~()[]{}\"\\"
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Entries a worker keeps; the half that was used longest ago goes when there are more.
+ENTRIES = 1_500_000
+#: Bytes of text that are cut into pieces at once; a worker holds some 60 bytes for each.
+SEGMENT = 1 << 20
+#: Entries added since the last merge into the sorted table.
+RECENT = 60_000
+#: Classes of bytes: white space, letters, marks that are a token's worth of their own after letters (neither apostrophe nor
+#: angle brackets), others, and the two bytes of the letters from U+00C0 to U+00FF.
+_SPACE, _LETTER, _MARK, _OTHER, _LEAD, _REST = range(6)
+
+
+def _classes() -> bytes:
+    of = np.full(256, _OTHER, np.uint8)
+    of[[32, *range(9, 14)]] = _SPACE
+    of[ord("a") : ord("z") + 1] = of[ord("A") : ord("Z") + 1] = _LETTER
+    of[list(b"!#$%&*+,-./:;=?@^_`|~()[]{}\"\\")] = _MARK
+    of[0xC3] = _LEAD
+    of[0x80:0xC0] = _REST
+    of[[0x97, 0xB7]] = _OTHER  # the signs of multiplication and division
+    return of.tobytes()
+
+
+_CLASS = _classes()
 
 
 def default_tokenizer() -> str:
@@ -41,8 +61,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts with their numbers, some SEGMENT bytes at once; a longer text is cut at white space."""
+    numbers, parts, n = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > SEGMENT:
+                cut = _GAP.search(text, at + SEGMENT)
+                end = cut.start() if cut else end
+            numbers.append(i)
+            parts.append(text[at:end])
+            n, at = n + end - at, end
+            if n >= SEGMENT:
+                yield numbers, parts
+                numbers, parts, n = [], [], 0
+    if parts:
+        yield numbers, parts
+
+
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def pieces(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of a text with white space at both ends, and which are words: a run without white
+    space is one piece, or if letters and then marks only, a word and the marks."""
+    of = np.frombuffer(joined.translate(_CLASS), np.uint8)
+    space = of == _SPACE
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = turns[::2], turns[1::2]
+    good = of == _LETTER
+    pair = (of[:-1] == _LEAD) & (of[1:] == _REST)
+    good[:-1] |= pair
+    good[1:] |= pair
+    body = np.r_[-1, np.flatnonzero(~space & (of != _MARK))]
+    core = np.maximum(body[np.searchsorted(body, end) - 1] + 1, start)
+    bad = np.r_[0, np.cumsum(~good, dtype=np.int64)]
+    word = (core > start) & (bad[core] == bad[start])
+    tail = word & (core < end)
+    at = np.arange(len(start)) + np.cumsum(tail) - tail
+    starts, ends, words = (np.empty(len(start) + int(tail.sum()), t) for t in (np.int64, np.int64, bool))
+    starts[at], ends[at], words[at] = start, np.where(word, core, end), word
+    at = at[tail] + 1
+    starts[at], ends[at], words[at] = core[tail], end[tail], False
+    return starts, ends, words
+
+
+def hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces, words without regard to the case of A-Z: sums of mixed pairs of byte and place."""
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    at = place + np.repeat(starts, size)
+    b = np.where(np.repeat(words, size), np.frombuffer(joined.lower(), np.uint8)[at], np.frombuffer(joined, np.uint8)[at]).astype(np.uint64)
+    v = (b + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (place + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0xBF58476D1CE4E5B9)
+    v ^= v >> np.uint64(32)
+    h = np.add.reduceat(v, first) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) + words
+
+
 class Words:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a cache from white-space-free runs to ids."""
+    """Ids of texts, by a table from 64-bit hashes of pieces to places in a pool of ids. Pieces are tokenised when first met."""
 
     held: dict[str, Words] = {}
 
@@ -53,8 +135,8 @@ class Words:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.vocabulary + 1, bool)  # tokens that end a word
         self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
-        self.runs: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.pool, self.fill, self.round = np.zeros(1 << 16, "<u4"), 0, 0
+        self.tables = [self._table(*([],) * 4), self._table(*([],) * 4)]  # sorted by key: most entries, and the latest
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -62,55 +144,109 @@ class Words:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def _learn(self, pieces: list[bytes], words: bool) -> None:
-        """Ids of pieces without white space, in few calls. words: each piece is letters only, so one token ends it;
-        otherwise offsets tell which piece a token belongs to."""
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
+    @staticmethod
+    def _table(key, first, size, used) -> list[np.ndarray]:
+        return [np.asarray(key, np.uint64), np.asarray(first, np.int64), np.asarray(size, np.int64), np.asarray(used, np.int32)]
+
+    def _learn(self, parts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and how many each has, in few calls. words: each piece is letters only, so
+        one token ends it; otherwise offsets tell which piece a token belongs to."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(parts), 2000):
+            part = parts[at : at + 2000]
             if words:
-                got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
-                ids = np.array(got.ids, "<u4")
-                cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+                got = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.r_[0, np.flatnonzero(self.ends[got]) + 1]
                 if len(cuts) != len(part) + 1:
-                    self._learn(part, False)
-                    continue
+                    got, size = self._learn(part, False)
+                    cuts = np.r_[0, np.cumsum(size)]
             else:
                 texts = [p.decode("utf-8", "replace") for p in part]
-                got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+                found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
                 starts = np.cumsum([0, *(len(p) + 1 for p in texts)])
-                owner = np.searchsorted(starts, [a for a, _ in got.offsets], side="right") - 1
-                ids = np.array(got.ids, "<u4")
+                owner = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") - 1
+                got = np.array(found.ids, "<u4")
                 cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.stems.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-
-    def _add(self, missing: set[bytes]) -> None:
-        """Puts together the ids of new runs: letters and the marks after them one after the other, other runs whole."""
-        plain, pieces, others = [], [], []
-        for w in missing:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() or (core and not core.isascii() and _LETTERS(core.decode("utf-8", "replace"))):
-                plain.append(w)
-                pieces.append(core.lower())
-            else:
-                others.append(w)
-        stems, runs = self.stems, self.runs
-        marks = [w[len(p) :] for w, p in zip(plain, pieces)]
-        self._learn([*set(pieces).difference(stems)], True)
-        self._learn([m for m in {*marks, *others} if m and m not in stems], False)
-        stems.setdefault(b"", b"")
-        runs.update(zip(plain, [stems[p] + stems[m] for p, m in zip(pieces, marks)]))
-        runs.update(zip(others, map(stems.__getitem__, others)))
+            ids.append(got)
+            sizes.append(np.diff(cuts))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _add(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.fill + len(ids) > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros(len(self.pool), "<u4")]
+        self.pool[self.fill : self.fill + len(ids)] = ids
+        new = self._table(key, self.fill + np.cumsum(size) - size, size, np.full(len(key), self.round))
+        self.fill += len(ids)
+        self.tables[1] = self._merged(self.tables[1], new)
+        if len(self.tables[1][0]) > RECENT:
+            self.tables = [self._merged(*self.tables), self._table(*([],) * 4)]
+
+    @staticmethod
+    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        both = [np.concatenate(x) for x in zip(a, b)]
+        order = np.argsort(both[0], kind="stable")
+        return [x[order] for x in both]
+
+    def _forget(self) -> None:
+        """Drops the half that was used longest ago, and its ids."""
+        _, first, size, used = every = self._merged(*self.tables)
+        keep = used > np.median(used)
+        every, first, size = [x[keep] for x in every], first[keep], size[keep]
+        start = np.cumsum(size) - size
+        self.pool = self.pool[np.repeat(first - start, size) + np.arange(int(size.sum()))]
+        self.fill = len(self.pool)
+        self.pool = np.r_[self.pool, np.zeros(1 << 16, "<u4")]
+        every[1] = start
+        self.tables = [every, self._table(*([],) * 4)]
+
+    def each(self, texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of texts, the ids of some of their text one after the other, and where each one's ids start and end."""
+        for numbers, parts in segments(texts):
+            joined = b" " + b" ".join(parts) + b" "
+            starts, ends, words = pieces(joined)
+            begin = 1 + np.cumsum([0, *(len(p) + 1 for p in parts)])
+            if not len(starts):
+                yield numbers, np.zeros(0, "<u4"), np.zeros(len(begin), np.int64)
+                continue
+            if sum(len(t[0]) for t in self.tables) > ENTRIES:
+                self._forget()
+            self.round += 1
+            code, key = pd.factorize(hashes(joined, starts, ends, words))
+            first, size, missing = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.ones(len(key), bool)
+
+            def find(those: np.ndarray, table: list[np.ndarray]) -> None:
+                at = np.minimum(np.searchsorted(table[0], key[those]), len(table[0]) - 1)
+                hit = table[0][at] == key[those]
+                at, those = at[hit], those[hit]
+                first[those], size[those], missing[those] = table[1][at], table[2][at], False
+                table[3][at] = self.round
+
+            for table in self.tables:
+                if len(table[0]) and missing.any():
+                    find(np.flatnonzero(missing), table)
+            if missing.any():
+                where = np.empty(len(key), np.int64)
+                where[code[::-1]] = np.arange(len(code))[::-1]
+                low = joined.lower()
+                for kind, source in ((True, low), (False, joined)):
+                    new = np.flatnonzero(missing & (words[where] == kind))
+                    if len(new):
+                        at = where[new]
+                        ids, n = self._learn([source[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], kind)
+                        first[new], size[new] = self.fill + np.cumsum(n) - n, n
+                        self._add(key[new], ids, n)
+            size = size[code]
+            upto = np.cumsum(size)
+            ids = self.pool[np.repeat(first[code] - upto + size, size) + np.arange(int(upto[-1]))]
+            yield numbers, ids, np.r_[0, upto][np.searchsorted(starts, begin)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.runs) > RUNS:
-            self.runs.clear()
-        if len(self.stems) > STEMS:
-            self.stems.clear()
-        split = [t.split() for t in texts]
-        if missing := set().union(*split).difference(self.runs):
-            self._add(missing)
-        return [b"".join(map(self.runs.__getitem__, words)) for words in split]
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        out = [b""] * len(texts)
+        for numbers, ids, cuts in self.each(texts):
+            for i, a, b in zip(numbers, cuts.tolist(), cuts[1:].tolist()):
+                out[i] += ids[a:b].tobytes()
+        return out
 
 
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -124,11 +260,15 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def encoded(texts: pa.Array) -> pa.Array:
         tokenizer = Words.of(path)
         project = _projection(tokenizer.vocabulary)
-        ids = tokenizer.ids([t or b"" for t in texts.to_pylist()])
-        points = np.zeros((len(ids), DIMS))
-        for i, x in enumerate(ids):
-            if x:
-                points[i] = project[np.frombuffer(x, "<u4")].sum(axis=0) / np.sqrt(len(x) / 4)
+        ids, points = [b""] * len(texts), np.zeros((len(texts), DIMS))
+        for numbers, found, cuts in tokenizer.each([t or b"" for t in texts.to_pylist()]):
+            some = np.flatnonzero(np.diff(cuts))
+            if len(some):
+                sums = np.stack([np.add.reduceat(p[found], cuts[some]) for p in project], axis=1)
+                np.add.at(points, np.array(numbers)[some], sums)
+            for i, a, b in zip(numbers, cuts.tolist(), cuts[1:].tolist()):
+                ids[i] += found[a:b].tobytes()
+        points /= np.sqrt(np.maximum([[len(x) / 4] for x in ids], 1)) if len(ids) else 1
         grid = np.clip((points / SPAN + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
         keys = hilbert_numpy(grid, BITS) if len(ids) else []
         return pa.StructArray.from_arrays([pa.array([x + end for x in ids], pa.binary()), pa.array([len(x) // 4 + 1 for x in ids], pa.int64()), pa.array(keys, pa.int64())], fields=list(schema))
@@ -142,7 +282,7 @@ _PROJECTIONS: dict[int, np.ndarray] = {}
 
 def _projection(vocabulary: int) -> np.ndarray:
     if vocabulary not in _PROJECTIONS:
-        _PROJECTIONS[vocabulary] = np.random.default_rng(SEED).normal(size=(vocabulary + 1, DIMS)).astype(np.float32)
+        _PROJECTIONS[vocabulary] = np.random.default_rng(SEED).normal(size=(DIMS, vocabulary + 1))
     return _PROJECTIONS[vocabulary]
 
 
