@@ -9,9 +9,13 @@ n-grams a language): one group a language makes their model and gives each shard
 it. Nothing of the models is collected or broadcast, so every language has its own, however many there are; each
 chunk's lists get their scores back in their shards.
 
+There are at most MOST_SHARDS shards, so a chunk has a bounded number of lists, and a shard's distinct n-grams are some
+million at most. Lists are merged and looked up as streams of rows in order of their shard, in blocks of BLOCK chunks, so no
+task holds a list of every chunk, and a shard that many chunks fill is many tasks.
+
 A model would know by heart a text that has many copies, and the text would look too predictable. A run of LEAST_UNIT
-symbols or more up to a sentence mark is therefore counted in the first chunk of a language that holds it only, and once. Which rows
-share a chunk follows from the partitions of the table, so scores may differ in late digits between layouts of it.
+symbols or more up to a sentence mark is therefore counted once a language: that occurrence which follows the least symbols.
+Its n-grams are then the same whichever of equal ones is taken, so scores do not depend on which rows share a chunk.
 
 A document's score is its mean negative log probability a character. A language's band is the median of
 its documents' scores, plus and minus BAND robust standard deviations and a term that widens for short
@@ -47,7 +51,11 @@ SIZE = SYMBOLS**LOW
 SPACE, MARK = 28, 29
 PAD = bytes([SPACE]) * (ORDER - 1)
 #: Texts gathered in a chunk, and bytes of text for one shard of the n-grams.
-CHUNK, SHARD_BYTES, LEAST_SHARDS = 4 << 20, 32 << 20, 12
+CHUNK, SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 32 << 20, 12, 1024
+#: Chunks whose lists of a shard meet in one task, and n-grams that it holds before it merges them.
+BLOCK, MERGED = 1024, 1 << 20
+#: Bits of a long unit's hash within its shard, and of the symbols before it.
+UNIT_BITS = 48
 #: A task with many languages holds so many chunks' worth of texts, then gives out its largest chunk before it is full.
 MOST_HELD = 16
 #: Symbols are written once and dealt twice, so they are worth a slow level of compression.
@@ -99,8 +107,9 @@ def gram_codes(s: np.ndarray, lengths: list[int]) -> np.ndarray:
     return codes(s)[in_texts(s, lengths)[ORDER - 1 :]]
 
 
-def units(s: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and 64-bit hashes of a chunk's units: runs of symbols up to a sentence mark or the end of a text."""
+def units(s: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and 64-bit hashes of a chunk's units, runs of symbols up to a sentence mark or the end of a text, and the
+    ORDER - 1 symbols before each; a text's first unit starts with its PAD and has none."""
     cut = np.zeros(len(s), bool)
     cut[1:] = s[:-1] == MARK
     cut[starts_of(lengths)] = True
@@ -112,7 +121,11 @@ def units(s: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     h *= powers[np.arange(len(s)) - np.repeat(first, size)]
     h = np.add.reduceat(h, first)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return size, h ^ (h >> np.uint64(29))
+    before = np.zeros(len(first), np.int32)
+    for i in range(ORDER - 1, 0, -1):
+        before = before << BITS | s[np.maximum(first - i, 0)]
+    before[np.isin(first, starts_of(lengths))] = 0
+    return size, h ^ (h >> np.uint64(29)), before
 
 
 def symbols_of(data: bytes) -> np.ndarray:
@@ -137,6 +150,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data))
 
 
+def _some_window_twice(w: np.ndarray) -> bool:
+    """If two windows of words have equal hashes; equal windows do."""
+    h = w + np.uint64(1)
+    size = 1
+    while size < WINDOW:
+        h = h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        size *= 2
+    h = np.sort(h)
+    return bool((h[1:] == h[:-1]).any())
+
+
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if not text:
@@ -150,9 +174,9 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     repeated = 0
     if n >= WINDOW:
         ids: dict[bytes, int] = {}
-        w = np.array([ids.setdefault(x, len(ids)) for x in words], np.int64)
-        if len(ids) < n:  # a repeated window has repeated words
-            ranks = w
+        w = np.array([ids.setdefault(x, len(ids)) for x in words], np.uint64)
+        if len(ids) < n and _some_window_twice(w):
+            ranks = w.astype(np.int64)
             size = 1
             while size < WINDOW:  # names of windows of 2, 4 and 8 words, exact
                 pairs = ranks[:-size] * (int(ranks.max()) + 1) + ranks[size:]
@@ -181,7 +205,7 @@ def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
     what is known of each text (its key and base counts)."""
     one = "struct<_d: bigint, _th: bigint, n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, n_bytes: bigint>"
     info = pa.struct([(n, pa.int64()) for n in re.findall(r"(\w+): bigint", one)])
-    schema = pa.schema([("chunk", pa.string()), ("model", pa.int32()), ("symbols", pa.binary()), ("lengths", pa.list_(pa.int32())), ("info", pa.list_(info))])
+    schema = pa.schema([("chunk", pa.int64()), ("model", pa.int32()), ("symbols", pa.binary()), ("lengths", pa.list_(pa.int32())), ("info", pa.list_(info))])
 
     def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -193,7 +217,7 @@ def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
             parts, known = held.pop(m)
             del sizes[m]
             lengths = [k["n_bytes"] for k in known]
-            return pa.RecordBatch.from_pylist([{"chunk": f"{task}-{made}", "model": m, "symbols": zstandard.compress(b"".join(parts), LEVEL), "lengths": lengths, "info": known}], schema)
+            return pa.RecordBatch.from_pylist([{"chunk": task << 32 | made, "model": m, "symbols": zstandard.compress(b"".join(parts), LEVEL), "lengths": lengths, "info": known}], schema)
 
         sizes: dict[int, int] = {}
         total = 0
@@ -214,7 +238,7 @@ def chunks(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
             yield flushed(m)
 
     few = docs.select(docs["lang"].cast("string").alias("lang"), text_of(docs, False).alias("text"), *row_key(docs))
-    return few.mapInArrow(gathered, f"chunk string, model int, symbols binary, lengths array<int>, info array<{one}>")
+    return few.mapInArrow(gathered, f"chunk bigint, model int, symbols binary, lengths array<int>, info array<{one}>")
 
 
 def shard_order(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,50 +250,102 @@ def shard_order(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
 
 
-def long_units(size: np.ndarray, hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the long units by shard then hash, and where each shard starts."""
-    h = np.unique(hashes[size >= LEAST_UNIT])
-    order = np.argsort(h % np.uint64(shards), kind="stable")
-    return h[order], np.searchsorted((h % np.uint64(shards))[order], np.arange(shards + 1, dtype=np.uint64))
+def long_units(size: np.ndarray, hashes: np.ndarray, before: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the long units, each distinct one once, where the least symbols are before it; by shard and hash. And
+    where each shard starts."""
+    long = np.flatnonzero(size >= LEAST_UNIT)
+    order = long[np.lexsort((before[long], hashes[long]))]
+    h = hashes[order]
+    order = order[np.r_[True, h[1:] != h[:-1]]] if len(order) else order
+    shard = unit_shard(hashes[order], shards)
+    order = order[np.lexsort((unit_name(hashes[order]), shard))]
+    return order, np.searchsorted(np.sort(shard), np.arange(shards + 1))
+
+
+def unit_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(UNIT_BITS)) * np.uint64(shards) >> np.uint64(64 - UNIT_BITS)).astype(np.int64)
+
+
+def unit_name(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << UNIT_BITS) - 1)).astype(np.int64)
 
 
 def unit_lists(parts: DataFrame, shards: int) -> DataFrame:
-    """model, shard, chunk, hashes: each chunk's distinct long units, one list a shard."""
-    schema = pa.schema([("model", pa.int32()), ("shard", pa.int32()), ("chunk", pa.string()), ("hashes", pa.binary())])
+    """model, shard, chunk, names, before: each chunk's distinct long units, one list a shard."""
+    schema = pa.schema([("model", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("before", pa.binary())])
 
     def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for chunk, m, data, lengths in zip(*(batch.column(c).to_pylist() for c in ("chunk", "model", "symbols", "lengths"))):
-                h, at = long_units(*units(symbols_of(data), lengths), shards)
-                yield pa.RecordBatch.from_pylist([{"model": m, "shard": int(k), "chunk": chunk, "hashes": h[at[k] : at[k + 1]].tobytes()} for k in np.flatnonzero(np.diff(at))], schema)
+                size, h, before = units(symbols_of(data), lengths)
+                which, at = long_units(size, h, before, shards)
+                rows = []
+                for k in np.flatnonzero(np.diff(at)).tolist():
+                    mine = which[at[k] : at[k + 1]]
+                    rows.append({"model": m, "shard": k, "chunk": chunk, "names": pack_sorted(unit_name(h[mine])), "before": pack(before[mine])})
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return parts.select("chunk", "model", "symbols", "lengths").mapInArrow(listed, "model int, shard int, chunk string, hashes binary")
+    return parts.select("chunk", "model", "symbols", "lengths").mapInArrow(listed, "model int, shard int, chunk bigint, names binary, before binary")
 
 
 def unit_owners(lists: DataFrame) -> DataFrame:
-    """chunk, shard, own: for each unit of a list, if its chunk is the first of its model that holds the unit."""
+    """chunk, shard, own: for each unit of a list, if the chunk counts it. The units of a partition are sorted by Spark,
+    which can spill, so a task holds no more than a list."""
+    one = pa.schema([("name", pa.int64()), ("before", pa.int32()), ("chunk", pa.int64()), ("at", pa.int64())])
+    flag = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("own", pa.bool_())])
+    out = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("own", pa.binary())])
 
-    def owned(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk")
-        every = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
-        own = np.zeros(sum(map(len, every)), bool)
-        own[np.unique(np.concatenate(every), return_index=True)[1]] = True
-        ends = np.cumsum([len(x) for x in every])
-        return pd.DataFrame({"chunk": part["chunk"], "shard": part["shard"], "own": [np.packbits(x).tobytes() for x in np.split(own, ends[:-1])]})
+    def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for m, shard, chunk, names, before in zip(*(batch.column(c).to_pylist() for c in ("model", "shard", "chunk", "names", "before"))):
+                name = unpack_sorted(names) | ((m * 40503 + shard) % (1 << 15)) << UNIT_BITS
+                n = len(name)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(unpack(before).astype(np.int32)), pa.array(np.full(n, chunk)), pa.array(np.arange(n) | shard << 32)], schema=one)
 
-    return lists.groupBy("model", "shard").applyInPandas(owned, "chunk string, shard int, own binary")
+    def firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in it:
+            if batch.num_rows:
+                name = batch.column("name").to_numpy()
+                own = np.r_[last is None or name[0] != last, name[1:] != name[:-1]]
+                last = name[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), pa.array(own)], schema=flag)
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(chunk: np.ndarray, shard: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (shard[1:] != shard[:-1])])
+            bits = [np.packbits(x).tobytes() for x in np.split(own, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(shard[first].astype(np.int32)), pa.array(bits, pa.binary())], schema=out)
+
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        waiting = [held]
+        for batch in it:
+            if batch.num_rows:
+                waiting.append([batch.column("chunk").to_numpy(), batch.column("at").to_numpy() >> 32, batch.column("own").to_numpy(zero_copy_only=False)])
+            if sum(len(x[0]) for x in waiting) > 100_000:
+                held = [np.concatenate(x) for x in zip(*waiting)]
+                rest = int(np.argmax((held[0] == held[0][-1]) & (held[1] == held[1][-1])))  # the last list may go on
+                if rest:
+                    yield done(*(x[:rest] for x in held))
+                waiting = [[x[rest:] for x in held]]
+        held = [np.concatenate(x) for x in zip(*waiting)]
+        if len(held[0]):
+            yield done(*held)
+
+    rows = lists.repartition("model", "shard").mapInArrow(unpacked, "name bigint, before int, chunk bigint, at bigint")
+    flags = rows.sortWithinPartitions("name", "before", "chunk").mapInArrow(firsts, "chunk bigint, at bigint, own boolean")
+    return flags.sortWithinPartitions("chunk", "at").mapInArrow(packed, "chunk bigint, shard int, own binary")
 
 
 def counted_symbols(s: np.ndarray, lengths: list[int], own: pd.DataFrame, shards: int) -> np.ndarray:
-    """Which symbols of a chunk are counted: those of short units, and of each long unit that it owns, once."""
-    size, hashes = units(s, lengths)
-    h, at = long_units(size, hashes, shards)
-    flags = np.zeros(len(h), bool)
+    """Which symbols of a chunk are counted: those of short units, and of each long unit that it counts, once."""
+    size, hashes, before = units(s, lengths)
+    which, at = long_units(size, hashes, before, shards)
+    counted = size < LEAST_UNIT
     for k, bits in zip(own["shard"], own["own"]):
-        flags[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[k + 1] - at[k]))
-    once = np.zeros(len(hashes), bool)
-    once[np.unique(hashes, return_index=True)[1]] = True
-    return np.repeat((size < LEAST_UNIT) | once & np.isin(hashes, h[flags]), size)
+        mine = which[at[k] : at[k + 1]]
+        counted[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine))
+    return np.repeat(counted, size)
 
 
 def gram_lists(parts: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
@@ -289,33 +365,64 @@ def gram_lists(parts: DataFrame, owners: DataFrame, shards: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["model", "shard", "chunk", "codes", "counts"])
 
     few = parts.select("chunk", "model", "symbols", "lengths").groupBy("chunk")
-    return few.cogroup(owners.groupBy("chunk")).applyInPandas(listed, "model int, shard int, chunk string, codes binary, counts binary")
+    return few.cogroup(owners.groupBy("chunk")).applyInPandas(listed, "model int, shard int, chunk bigint, codes binary, counts binary")
 
 
-def merged(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes and summed counts of some lists."""
-    grams = np.concatenate([unpack_sorted(x) for x in parts["codes"]])
-    n = np.concatenate([unpack(x) for x in parts["counts"]])
+    grams, n = (np.concatenate(x) for x in zip(*lists))
     order = np.argsort(grams, kind="stable")
     grams = grams[order]
     first = np.flatnonzero(np.diff(grams, prepend=-1))
     return grams[first], np.add.reduceat(n[order], first)
 
 
+def merged_lists(lists: DataFrame, keys: list[str], finish, types: str) -> DataFrame:
+    """finish(key, codes, counts) for the merged lists of each key. lists come as a stream in order of their keys: a task
+    holds one key's distinct n-grams and some lists."""
+
+    def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+        for batch in it:
+            for *key, grams, counts in zip(*(batch.column(c).to_pylist() for c in (*keys, "codes", "counts"))):
+                if key != now:
+                    if held:
+                        yield rows_of(finish(now, *merged(held)))
+                    now, held, n = key, [], 0
+                held.append((unpack_sorted(grams), unpack(counts)))
+                n += len(held[-1][0])
+                if n > 2 * max(MERGED, len(held[0][0])):
+                    held = [merged(held)]
+                    n = len(held[0][0])
+        if held:
+            yield rows_of(finish(now, *merged(held)))
+
+    def rows_of(row: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([row], schema)
+
+    schema = arrow_schema(types)
+    few = lists.select(*keys, "codes", "counts").repartition(*keys).sortWithinPartitions(*keys)
+    return few.mapInArrow(scan, types)
+
+
+def arrow_schema(types: str) -> pa.Schema:
+    of = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(c.split()[0], of[c.split()[1]]) for c in types.split(", ")])
+
+
 def shard_totals(lists: DataFrame) -> DataFrame:
     """model, shard, codes, counts, kinds, low_codes, low_counts: a shard's n-grams, sorted, with their counts; how
     many n-grams of the two highest orders have counts 1 to 4; the n-grams of the order below with continuation counts."""
 
-    def summed(part: pd.DataFrame) -> pd.DataFrame:
-        grams, n = merged(part)
+    def summed(key: list, grams: np.ndarray, n: np.ndarray) -> dict:
         five, c5 = np.unique(grams[n > 0] & (SIZE * SYMBOLS - 1), return_counts=True)
         low = np.unique(grams & (SIZE - 1))  # those of n-grams that do not count too, as they get scores
         c4 = np.bincount(np.searchsorted(low, five & (SIZE - 1)), minlength=len(low))
         kinds = [int((c == i).sum()) for c in (n, c5) for i in (1, 2, 3, 4)]
-        row = {"model": int(part["model"].iloc[0]), "shard": int(part["shard"].iloc[0]), "codes": pack_sorted(grams), "counts": pack(n), "kinds": kinds, "low_codes": pack_sorted(low), "low_counts": pack(c4)}
-        return pd.DataFrame([row])
+        return {"model": key[0], "shard": key[1], "codes": pack_sorted(grams), "counts": pack(n), "kinds": kinds, "low_codes": pack_sorted(low), "low_counts": pack(c4)}
 
-    return lists.groupBy("model", "shard").applyInPandas(summed, "model int, shard int, codes binary, counts binary, kinds array<bigint>, low_codes binary, low_counts binary")
+    blocks = merged_lists(lists, ["model", "shard", "block"], lambda key, grams, n: dict(zip(("model", "shard", "codes", "counts"), (*key[:2], pack_sorted(grams), pack(n)))), "model int, shard int, codes binary, counts binary")
+    return merged_lists(blocks, ["model", "shard"], summed, "model int, shard int, codes binary, counts binary, kinds array<bigint>, low_codes binary, low_counts binary")
 
 
 def low_counts(totals: DataFrame) -> DataFrame:
@@ -354,28 +461,37 @@ def interpolated(grams: np.ndarray, counts: np.ndarray, d: np.ndarray, lower: np
     return (counts - off) / np.repeat(np.maximum(total, 1), size) + np.repeat(back, size) * lower
 
 
-def shard_scores(lists: DataFrame, totals: DataFrame, models: DataFrame) -> DataFrame:
+def shard_scores(lists: DataFrame, totals: DataFrame, models: DataFrame, blocks: int) -> DataFrame:
     """chunk, shard, nll: negative log probabilities of a chunk's n-grams in a shard, as 1/2000, in order of their codes."""
+    schema = arrow_schema("chunk bigint, shard int, nll binary")
 
-    def looked_up(mine: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty:
-            return pd.DataFrame({"chunk": [], "shard": [], "nll": []})
-        is_model = whole["low"].notna()
-        model = whole[is_model].iloc[0]
-        kinds = list(model["kinds"])
-        grams, n = merged(whole[~is_model])
-        five, at = np.unique(grams & (SIZE * SYMBOLS - 1), return_inverse=True)
-        c5 = np.bincount(at, weights=n > 0).astype(np.int64)
-        p4 = np.frombuffer(zstandard.decompress(model["low"]), "<f4")[np.searchsorted(np.unique(five & (SIZE - 1)), five & (SIZE - 1))]
-        p5 = interpolated(five, c5, discounts(*kinds[4:]), p4)
-        p = interpolated(grams, n, discounts(*kinds[:4]), p5[at])
-        steps = np.minimum(np.round(-2000 * np.log(p)), 65_535).astype("<u2")
-        found = [zstandard.compress(steps[np.searchsorted(grams, unpack_sorted(x))].tobytes()) for x in mine["codes"]]
-        return pd.DataFrame({"chunk": mine["chunk"], "shard": mine["shard"], "nll": found})
-
-    few = lists.select("model", "shard", "chunk", "codes").groupBy("model", "shard")
-    both = totals.select("model", "shard", "codes", "counts").unionByName(models, allowMissingColumns=True)
-    return few.cogroup(both.groupBy("model", "shard")).applyInPandas(looked_up, "chunk string, shard int, nll binary")
+    def looked_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = steps = None
+        for batch in it:
+            rows = []
+            for chunk, shard, codes, counts, low, kinds in zip(*(batch.column(c).to_pylist() for c in ("chunk", "shard", "codes", "counts", "low", "kinds"))):
+                if chunk < 0:  # a block's model comes before its lists
+                    grams, steps = probabilities(unpack_sorted(codes), unpack(counts), low, kinds)
+                else:
+                    rows.append({"chunk": chunk, "shard": shard, "nll": zstandard.compress(steps[np.searchsorted(grams, unpack_sorted(codes))].tobytes())})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    every = totals.select("model", "shard", "codes", "counts").join(models, ["model", "shard"])
+    every = every.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("chunk", F.lit(-1).cast("bigint"))
+    both = every.unionByName(lists.select("model", "shard", "block", "chunk", "codes"), allowMissingColumns=True)
+    both = both.repartition("model", "shard", "block").sortWithinPartitions("model", "shard", "block", "chunk")
+    return both.select("chunk", "shard", "codes", "counts", "low", "kinds").mapInArrow(looked_up, "chunk bigint, shard int, nll binary")
+
+
+def probabilities(grams: np.ndarray, n: np.ndarray, low: bytes, kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's codes and their negative log probabilities as 1/2000."""
+    five, at = np.unique(grams & (SIZE * SYMBOLS - 1), return_inverse=True)
+    c5 = np.bincount(at, weights=n > 0).astype(np.int64)
+    p4 = np.frombuffer(zstandard.decompress(low), "<f4")[np.searchsorted(np.unique(five & (SIZE - 1)), five & (SIZE - 1))]
+    p5 = interpolated(five, c5, discounts(*kinds[4:]), p4)
+    p = interpolated(grams, n, discounts(*kinds[:4]), p5[at])
+    return grams, np.minimum(np.round(-2000 * np.log(p)), 65_535).astype("<u2")
 
 
 def text_scores(parts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
@@ -386,12 +502,12 @@ def text_scores(parts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
         lengths = np.asarray(r["lengths"], np.int64)
         grams, at = np.unique(gram_codes(symbols_of(r["symbols"]), list(lengths)), return_inverse=True)
         order, _ = shard_order(grams, shards)
-        nll = np.empty(len(grams), np.float32)
+        nll = np.empty(len(grams), np.int64)
         if len(grams):
             nll[order] = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u2") for x in lists.sort_values("shard")["nll"]])
-        sums = np.concatenate([[0.0], np.cumsum(nll[at.reshape(-1)] / 2000.0, dtype=np.float64)])
+        sums = np.r_[0, np.cumsum(nll[at.reshape(-1)])]
         ends = np.cumsum(lengths)
-        means = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)
+        means = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1) / 2000
         return pd.DataFrame({"model": int(r["model"]), "info": list(r["info"]), "nll": [float(x) if n else None for x, n in zip(means, lengths)]})
 
     info = parts.schema["info"].dataType.elementType.simpleString()
@@ -451,10 +567,12 @@ def scores(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFr
     """_d, _th, the base counts, the model's number and the mean negative log probability nll of each row."""
     parts = written(chunks(docs, langs, least), "symbols")
     size = parts.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    shards = max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES))
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES)))
+    blocks = max(1, math.ceil(size / least / BLOCK))
     lists = written(gram_lists(parts, unit_owners(unit_lists(parts, shards)), shards), "gram-lists")
+    lists = lists.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(blocks)).cast("int"))
     totals = written(shard_totals(lists), "gram-totals")
-    found = shard_scores(lists, totals, train(totals))
+    found = shard_scores(lists, totals, train(totals), blocks)
     return text_scores(parts, found, shards).select("info.*", "model", "nll")
 
 
