@@ -5,15 +5,16 @@ split again; every vector is indexed. A vector is listed under its nearest centr
 under up to REPLICAS - 1 further ones whose distance is within a ratio. A query walks a graph over the
 centroids in memory, and takes lists in order of distance until a distance ratio prunes them; it takes
 more as long as those lists hold too few vectors. Lists meet queries in chunks of bounded size on
-both sides, and scores are exact cosines of the original vectors in double precision. Centroids are at most
-MOST_CENTROIDS, which bounds what is broadcast.
+both sides, and scores are exact cosines of the original vectors in double precision. A query that meets fewer than
+k other ids that way meets all lists. Centroids are at most MOST_CENTROIDS, which bounds what is broadcast.
 
 Skew: a list over CHUNK rows is cut into chunks, and many queries for a list into blocks, so a vector that a
-third of all rows repeat fills many small tasks; equal vectors of a chunk are scored once.
+third of all rows repeat fills many small tasks; equal vectors of a chunk are scored once. All vectors that are as
+near as the k-th id of a chunk are scored exactly, however many tie.
 
 Defined cases: null, zero, non-finite vectors, and vectors of another length than most, take no part; rows
-that repeat a vec_id are one candidate (its best vector) and one query; ties go to the smaller vec_id; an
-empty table gives an empty result; other columns are ignored.
+that repeat a vec_id are one candidate (its best vector) and one query (its least vector, bytewise); ties go to the
+smaller vec_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from linkspark.llm.common import prepare, read, written
 SAMPLE, LIST_ROWS, MOST_CENTROIDS, ROUNDS = 20_000, 256, 4096, 12
 REPLICAS, BOUNDARY, PROBE, LEAST_FOUND = 4, 1.10, 1.35, 64
 DEGREE, BEAM, CHUNK, SEED = 16, 256, 8192, 5
+#: More than rounding moves a cosine of unit vectors.
+MARGIN = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,10 +43,15 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest centroid, some rows at once."""
+    return np.concatenate([np.argmax(x[i : i + 2000] @ c.T, axis=1) for i in range(0, len(x), 2000)])
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(ROUNDS):
-        near = np.argmax(x @ c.T, axis=1)
+        near = nearest_of(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         lengths = np.linalg.norm(sums, axis=1)
@@ -57,7 +65,7 @@ def centroids(x: np.ndarray, k: int) -> np.ndarray:
     x = np.unique(x, axis=0)
     k = max(1, min(k, len(x)))
     c = kmeans(x, k, rng)
-    near = np.argmax(x @ c.T, axis=1)
+    near = nearest_of(x, c)
     out, mean = [], len(x) / k
     for i in range(k):
         own = x[near == i]
@@ -167,45 +175,66 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 out.append(found[take | ~enough].tolist())
         return pa.array(out, pa.list_(pa.int32()))
 
+    def scored(lists: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        rows = found_in(lists, asks, dim, k) if len(lists) and len(asks) else []
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    def met(probed: DataFrame) -> DataFrame:
+        """query_id, vec_id, score: the k nearest ids, and more, of the lists that each query takes. probed: vec_id, v, list."""
+        asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a centroid
+        plan = [(i, -(-sizes[i] // CHUNK), -(-asked[i] // CHUNK)) for i in sorted(asked) if sizes.get(i)]
+        cuts = F.broadcast(spark.createDataFrame(plan, "list int, chunks int, blocks int"))
+        left = posted.join(cuts, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        right = probed.join(cuts, "list").select("vec_id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+        keys = ["list", "chunk", "block"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "query_id long, vec_id long, score double")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
     queries = table.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     probed = written(queries.select("vec_id", "v", F.explode(probes("v")).alias("list")), "probes")
-    asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    plan = [(i, max(1, -(-sizes.get(i, 0) // CHUNK)), max(1, -(-asked.get(i, 0) // CHUNK))) for i in range(len(c)) if asked.get(i) and sizes.get(i)]
-    cuts = F.broadcast(spark.createDataFrame(plan, "list int, chunks int, blocks int")) if plan else None
-    if cuts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    left = posted.join(cuts, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = probed.join(cuts, "list").select("vec_id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
-
-    def scored(lists: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(lists) or not len(asks):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        lists = lists.sort_values(["v", "vec_id"])
-        ids, raw = lists["vec_id"].to_numpy(), lists["v"].tolist()
-        first = np.flatnonzero([True, *(a != b for a, b in zip(raw, raw[1:]))])  # equal vectors are scored once
-        ends = np.r_[first[1:], len(raw)]
-        x = _matrix([raw[i] for i in first], dim)
-        q = _matrix(asks["v"], dim)
-        out = []
-        for at in range(0, len(q), 512):
-            part = q[at : at + 512]
-            sims = unit(part) @ unit(x).T
-            m = min(len(x), k + 4)
-            top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-            exact = cosines(np.repeat(part, m, axis=0), x[top.reshape(-1)]).reshape(-1, m)
-            for i, query in enumerate(asks["vec_id"].to_numpy()[at : at + 512]):
-                rows = []
-                for j, s in zip(top[i], exact[i]):
-                    own = ids[first[j] : ends[j]][: k + 1]
-                    rows += [(-s, int(v)) for v in own if v != query]
-                out += [(int(query), v, -s) for s, v in sorted(rows)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ["list", "chunk", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = written(met(probed), "found")
+    whole = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = written(queries.join(whole, "vec_id", "left_anti"), "short-queries")
+    if short.isEmpty():
+        return found
+    every_list = F.explode(F.array(*[F.lit(i) for i in sorted(sizes)]))
+    again = met(short.select("vec_id", "v", every_list.alias("list")))
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+
+
+def found_in(lists: pd.DataFrame, asks: pd.DataFrame, dim: int, k: int) -> list[tuple[int, int, float]]:
+    """(query, vec_id, score): for each query of asks the k nearest other ids of lists, ties to the smaller id."""
+    lists = lists.drop_duplicates(["v", "vec_id"]).sort_values(["v", "vec_id"])
+    ids, raw = lists["vec_id"].to_numpy(), lists["v"].tolist()
+    first = np.flatnonzero([True, *(a != b for a, b in zip(raw, raw[1:]))])  # equal vectors are scored once
+    held = np.minimum(np.diff(np.r_[first, len(raw)]), k + 1)  # more ids of one vector than that are never among the nearest
+    x = _matrix([raw[i] for i in first], dim)
+    u, q = unit(x), _matrix(asks["v"], dim)
+    out = []
+    for at in range(0, len(q), 512):
+        sims = unit(q[at : at + 512]) @ u.T
+        for i, query in enumerate(asks["vec_id"].to_numpy()[at : at + 512].tolist()):
+            near, m = sims[i], min(len(x), k + 4)
+            while True:  # until the nearest vectors hold k other ids, or all do
+                least = np.partition(near, len(near) - m)[len(near) - m]
+                some = np.flatnonzero(near >= least - MARGIN)
+                score = cosines(np.broadcast_to(q[at + i], (len(some), dim)), x[some])
+                n = held[some]
+                own = ids[np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                score = np.repeat(score, n)
+                best: dict[int, float] = {}
+                for j in np.lexsort((own, -score)).tolist():
+                    if len(best) == k:
+                        break
+                    if own[j] != query:
+                        best.setdefault(int(own[j]), float(score[j]))
+                if len(best) == k or len(some) == len(x):
+                    break
+                m = min(len(x), max(2 * m, len(some) + 1))
+            out += [(query, v, s) for v, s in best.items()]
+    return out
 
 
 def op8_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
