@@ -2,13 +2,16 @@
 
 Each document draws u in (0, 1] from its id and gets the exponential key -ln(u) / quality. A source's
 target is k whole epochs and a rest; the rest goes to the documents with the smallest keys, by prefix
-sums of their sizes. Keys fall into buckets of about `bucket_rows` documents, only bucket sums are
-prefix-summed, and only the bucket on the boundary is sorted row by row, so a source with a third of all
-rows needs no task of its own. Past the boundary, up to three more passes over that bucket take, in key
-order, documents that still fit.
+sums of their sizes. What the prefix leaves open is filled from the FILL documents that come next, in key
+order and up to FILL_PASSES times over, by those that still fit.
+
+The end of a prefix is found by two histograms of each source's own keys: one of fixed steps of the key's
+logarithm, and one that cuts its bin at the boundary into FINE parts. Only a histogram's bins are prefix-summed, a bounded
+number for each source, and only the documents of the last bin at the boundary are sorted row by row (some millionth
+of a source, whatever its qualities), so a source with a third of all rows needs no task of its own.
 
 Defined cases: a null or empty text has size 0 and is never taken beyond that; a null source is a source,
-ordered last; rows equal in doc_id, text and source are one unit that is taken together; other columns
+ordered last; a null doc_id draws by its text; rows equal in doc_id, text and source are one unit that is taken together; other columns
 are kept by `mix` and may have any name; an empty table gives an empty result.
 """
 
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.common import n_words, read, row_key, small, text_of, written
 
-WEIGHTS, TOTAL_SHARE, CAP, SEED, BUCKET_ROWS, MOST_BUCKETS = (5, 2, 1), 1.5, 2, 42, 4096, 65536
-FILL_PASSES = 3
+WEIGHTS, TOTAL_SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, 42
+#: Bins of the key for each power of two, and parts of the bin at the boundary.
+STEPS, FINE = 64, 4096
+FILL, FILL_PASSES = 256, 3
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -30,7 +35,7 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, cap=CAP) -> DataFrame:
-    """sizes: source, source_size, n_units. Adds weight and target: the weighted share, at most cap times the size.
+    """sizes: source, source_size. Adds weight and target: the weighted share, at most cap times the size.
 
     Water filling: with sources by cap * size / weight, the level is that of the first source that its share
     does not fill. One row a source goes through one task.
@@ -52,46 +57,63 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, cap=CAP
     )
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, cap=CAP, seed=SEED, bucket_rows=BUCKET_ROWS, quality=quality_weight) -> DataFrame:
+def _edges(bins: DataFrame, base: str, fill: int, last: str) -> DataFrame:
+    """For each source, from its bins (_src, rest, bin, n, sum) in order: the first bin `low` whose sums exceed rest, the bin
+    `high` with `fill` documents after that, and the sum `last` of all bins before the first. base: the sum before all bins."""
+    run = Window.partitionBy("_src").orderBy("bin")
+    at = bins.withColumn("_upto", F.col(base) + F.sum("sum").over(run)).withColumn("_rows", F.sum("n").over(run))
+    at = at.withColumn("_low", F.min(F.when(F.col("_upto") > F.col("rest"), F.struct("bin", "_rows", (F.col("_upto") - F.col("sum")).alias("s")))).over(Window.partitionBy("_src")))
+    enough = F.min(F.when(F.col("_rows") >= F.col("_low._rows") + fill, F.col("bin")))
+    return at.groupBy("_src", "rest", "_low").agg(F.coalesce(enough, F.max("bin")).alias("high")).select(F.col("_src").alias("_esrc"), F.col("_low.bin").alias("low"), "high", F.col("_low.s").alias(last))
+
+
+def _with(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    return rows.join(small(edges), rows["_src"].eqNullSafe(edges["_esrc"]), "left").drop("_esrc")
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, cap=CAP, seed=SEED, quality=quality_weight, steps: int = STEPS, fine: int = FINE) -> DataFrame:
     """A row for each unit: _d, _th, source, size, rows, source_size, target, copies (times it is taken)."""
     base = docs.select(*row_key(docs), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), text_of(docs).alias("_t"))
     base = base.select("_d", "_th", "source", "size", quality(F.col("_t"), F.col("size")).alias("_q"))
     units = written(base.groupBy("_d", "_th", "source").agg(F.first("size").alias("each"), F.first("_q").alias("_q"), F.count("*").alias("rows")), "mix-units")
-    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("_d").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48))
+    name = F.coalesce(F.col("_d").cast("string"), F.concat(F.lit("text "), F.col("_th").cast("string")))
+    u = (F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48))
     units = units.withColumn("size", F.col("each") * F.col("rows")).withColumn("_key", -F.log(u) / F.col("_q"))
-    per = source_targets(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_units")), weights, share, cap)
+    per = source_targets(units.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     per = (
         per.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .withColumn("n_buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("n_units") / bucket_rows)).cast("long"))
-        .withColumnRenamed("source", "_src").drop("weight", "n_units")
+        .withColumnRenamed("source", "_src").drop("weight")
     )
     per = written(per, "mix-sources")
-    bucket = F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("n_buckets")).cast("long"), F.col("n_buckets") - 1)
-    dealt = units.join(small(per), units["source"].eqNullSafe(per["_src"])).withColumn("bucket", bucket)
-    run = Window.partitionBy("_src").orderBy("bucket")
-    edges = (
-        dealt.groupBy("_src", "rest", "bucket").agg(F.sum("size").alias("_sum"))
-        .withColumn("_upto", F.sum("_sum").over(run))
-        .groupBy("_src").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("_upto") + F.col("_sum")).alias("left")), F.when(F.col("_upto") > F.col("rest"), F.col("bucket"))).alias("_edge"))
-        .withColumnRenamed("_src", "_esrc")
-    )
-    edges = written(edges, "mix-edges")
-    dealt = dealt.join(small(edges), dealt["_src"].eqNullSafe(edges["_esrc"]), "left").drop("_esrc", "_src")
-    edge = F.col("_edge.bucket")
-    clear = dealt.filter((F.col("bucket") != edge) | edge.isNull()).withColumn("extra", F.coalesce(F.col("bucket") < edge, F.lit(True)) & (F.col("rest") > 0))
-    # the boundary bucket of each source, row by row
-    order = Window.partitionBy("source").orderBy("_key", "_d", "_th").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.log2(F.greatest("_key", F.lit(1e-300))) * steps
+    dealt = units.join(small(per), units["source"].eqNullSafe(per["_src"])).withColumn("_place", place).withColumn("bin", F.floor("_place"))
+    sums = (F.count("*").alias("n"), F.sum("size").alias("sum"))
+    coarse = dealt.groupBy("_src", "rest", "bin").agg(*sums).withColumn("_none", F.lit(0))
+    dealt = _with(dealt, written(_edges(coarse, "_none", FILL, "_before"), "mix-edges"))
+    # a source without a boundary has nothing to sample: its rest is 0 because its size is
+    inside = F.coalesce(F.col("bin").between(F.col("low"), F.col("high")), F.lit(False))
+    clear = dealt.filter(~inside).withColumn("extra", F.coalesce(F.col("bin") < F.col("low"), F.lit(False)) & (F.col("rest") > 0))
+    finer = F.floor((F.col("_place") - F.col("low")) / (F.col("high") - F.col("low") + 1) * fine)
+    near = dealt.filter(inside).withColumn("bin", finer).drop("low", "high")
+    near = _with(near, written(_edges(near.groupBy("_src", "rest", "bin", "_before").agg(*sums), "_before", FILL, "_base"), "mix-fine-edges"))
+    inside = F.col("bin").between(F.col("low"), F.col("high"))
+    sides = near.filter(~inside).withColumn("extra", (F.col("bin") < F.col("low")) & (F.col("rest") > 0))
+    # the documents at the boundary of each source, row by row
     whole = Window.partitionBy("source")
-    near = dealt.filter(F.col("bucket") == edge).withColumn("extra", F.lit(False)).withColumn("_left", F.col("_edge.left"))
-    for k in range(FILL_PASSES + 1):
-        fits = ~F.col("extra") & ((F.col("size") <= F.col("_left")) if k else F.lit(True))
-        near = near.withColumn("_c", F.when(fits, F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order)))
-        near = near.withColumn("_new", F.coalesce(F.col("_c") <= F.col("_left"), F.lit(False)))
-        near = near.withColumn("_left", F.col("_left") - F.sum(F.when(F.col("_new"), F.col("size")).otherwise(0)).over(whole))
-        near = near.withColumn("extra", F.col("extra") | F.col("_new")).drop("_c", "_new")
-    both = clear.unionByName(near.drop("_left"))
-    return both.select("_d", "_th", "source", F.col("each").alias("size"), "rows", "source_size", "target", (F.col("epochs") + F.col("extra").cast("long")).alias("copies"))
+    order = whole.orderBy("_key", "_d", "_th").rowsBetween(Window.unboundedPreceding, 0)
+    last = near.filter(inside).withColumn("_c", F.col("_base") + F.sum("size").over(order))
+    last = last.withColumn("extra", (F.col("_c") <= F.col("rest")) & (F.col("rest") > 0))
+    last = last.withColumn("_left", F.col("rest") - F.col("_base") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).over(whole))
+    last = last.withColumn("_may", ~F.col("extra") & (F.count_if(~F.col("extra")).over(order) <= FILL) & (F.col("rest") > 0))
+    for _ in range(FILL_PASSES):
+        fits = F.col("_may") & ~F.col("extra") & (F.col("size") <= F.col("_left"))
+        last = last.withColumn("_c", F.when(fits, F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order)))
+        last = last.withColumn("_new", F.coalesce(F.col("_c") <= F.col("_left"), F.lit(False)))
+        last = last.withColumn("_left", F.col("_left") - F.sum(F.when(F.col("_new"), F.col("size")).otherwise(0)).over(whole))
+        last = last.withColumn("extra", F.col("extra") | F.col("_new")).drop("_new")
+    few = ["_d", "_th", "source", F.col("each").alias("size"), "rows", "source_size", "target", (F.col("epochs") + F.col("extra").cast("long")).alias("copies")]
+    return clear.select(*few).unionByName(sides.select(*few)).unionByName(last.select(*few))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -115,28 +137,22 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
 k AS (SELECT doc_id, source, size,
     -ln((('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656.0)
       / (1.0 / (1.0 + (length(t) - length(translate(t, '#*$%&|<>', '')))::DOUBLE / greatest(size, 1)::DOUBLE)) AS key FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM k GROUP BY source),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s),
 m AS (SELECT (SELECT lv FROM l WHERE lv * w <= 2 * source_size ORDER BY source_size / w, lv LIMIT 1) AS lv),
-t AS (SELECT source, source_size, n, least(2.0 * source_size, coalesce(m.lv * w, 2.0 * source_size))::DOUBLE AS target FROM l, m),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs, least(65536, ceil(n / 4096.0))::BIGINT AS nb FROM t),
+t AS (SELECT source, source_size, least(2.0 * source_size, coalesce(m.lv * w, 2.0 * source_size))::DOUBLE AS target FROM l, m),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 b AS (SELECT k.doc_id, k.source, k.size, k.key, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-    least(floor((1 - exp(-k.key)) * e.nb)::BIGINT, e.nb - 1) AS bucket FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
-g AS (SELECT source, rest, bucket, sum(size) AS sz FROM b GROUP BY ALL),
-h AS (SELECT *, sum(sz) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM g),
-i AS (SELECT source, min(bucket) AS edge, arg_min(rest - upto + sz, bucket) AS lft FROM h WHERE upto > rest GROUP BY source),
-j AS (SELECT b.*, i.edge, i.lft FROM b LEFT JOIN i ON b.source IS NOT DISTINCT FROM i.source),
-c AS (SELECT doc_id, source, size, source_size, target, epochs, coalesce(bucket < edge, true) AND rest > 0 AS extra FROM j WHERE edge IS NULL OR bucket <> edge),
-n0 AS (SELECT doc_id, source, size, key, source_size, target, epochs, false AS x, lft FROM j WHERE bucket = edge),
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) AS c FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+x AS (SELECT *, rest > 0 AND c <= rest AS x FROM b),
+n0 AS (SELECT *, rest - sum(CASE WHEN x THEN size ELSE 0 END) OVER (PARTITION BY source) AS lft,
+    NOT x AND rest > 0 AND sum((NOT x)::INT) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= 256 AS may FROM x),
 @PASSES@
-SELECT doc_id, source, size, source_size, target, (epochs + extra::INT) * size AS taken
-FROM (SELECT * FROM c UNION ALL SELECT doc_id, source, size, source_size, target, epochs, x AS extra FROM n@LAST@)
+SELECT doc_id, source, size, source_size, target, (epochs + x::INT) * size AS taken FROM n@LAST@
 """
-_PASS = """a{k} AS (SELECT *, (NOT x AND ({k} = 0 OR size <= lft)) AS fits FROM n{k}),
-b{k} AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS c FROM a{k}),
-c{k} AS (SELECT *, (fits AND c <= lft) AS new FROM b{k}),
-n{n} AS (SELECT doc_id, source, size, key, source_size, target, epochs, (x OR new) AS x,
-    lft - sum(CASE WHEN new THEN size ELSE 0 END) OVER (PARTITION BY source) AS lft FROM c{k})"""
-ORACLE = _SQL.replace("@PASSES@", ",\n".join(_PASS.format(k=k, n=k + 1) for k in range(FILL_PASSES + 1))).replace("@LAST@", str(FILL_PASSES + 1))
+_PASS = """b{k} AS (SELECT *, may AND NOT x AND size <= lft AS fits FROM n{k}),
+c{k} AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= lft AS new FROM b{k}),
+n{n} AS (SELECT * EXCLUDE (x, lft, fits, new), x OR new AS x, lft - sum(CASE WHEN new THEN size ELSE 0 END) OVER (PARTITION BY source) AS lft FROM c{k})"""
+ORACLE = _SQL.replace("@PASSES@", ",\n".join(_PASS.format(k=k, n=k + 1) for k in range(FILL_PASSES))).replace("@LAST@", str(FILL_PASSES))
