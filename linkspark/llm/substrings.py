@@ -13,8 +13,9 @@ exact comparison of all LENGTH-byte strings around them. New contexts become a l
 of one size merge into the next, so a document is rewritten a logarithmic number of times.
 
 Skew: equal contexts of a partition are combined before the shuffle. An anchor with very many different
-contexts in one partition (a frequent passage in many surroundings) is dealt by context, and its strings are
-compared by a grouped minimum with partial aggregation instead of in one task.
+contexts in one partition (a frequent passage in many surroundings) is dealt by context. Contexts to be compared are
+counted over all batches and partitions: an anchor's strings are compared in one task if there are GROUP or fewer,
+else by a grouped minimum with partial aggregation.
 
 Defined cases: a null or empty text has no bytes; documents with equal doc_id are ordered by a hash of their
 texts, null ids first, and rows equal in both are one document whose result they share; documents under
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import delete, new_path, prepare, read, row_key, text_of, written
+from linkspark.llm.common import delete, new_path, prepare, read, row_key, small, text_of, written
 from linkspark.llm.packing import places
 
 LENGTH, GRAM, BATCHES, HOT, FLUSH, SALTS = 100, 40, 4, 512, 1_000_000, 64
 #: Bytes of text that are hashed at once, and contexts that are compared at once: a worker holds some 150 and 10,000 bytes for each.
 PIECE, COMPARED = 400_000, 6_000
+#: Contexts of an anchor that one task compares.
+GROUP = 1024
 REACH = LENGTH - GRAM
 SPAN = LENGTH + REACH  # bytes of a whole context
 ENTRY, COVERED, NEED, NEED_HOT, LEVEL = range(5)
@@ -397,7 +400,11 @@ def repeats(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     for x in index.found[1:]:
         found = found.unionByName(x)
     # exact comparison where an anchor has several contexts
-    wants = found.filter(F.col("kind").isin(NEED, NEED_HOT)).groupBy("doc").agg(F.collect_set(F.struct(F.col("kind"), F.col("h"), F.col("pos"))).alias("wants"))
+    needs = found.filter(F.col("kind").isin(NEED, NEED_HOT)).select("kind", "h", "doc", "pos")
+    many = needs.groupBy("h").agg(F.count("*").alias("n"), F.max("kind").alias("as_kind")).filter((F.col("n") > GROUP) | (F.col("as_kind") == NEED_HOT))
+    many = written(many.select("h", F.lit(NEED_HOT).cast("byte").alias("as_kind")), "hot-anchors")
+    needs = needs.join(small(many), "h", "left").withColumn("kind", F.coalesce("as_kind", "kind"))
+    wants = needs.groupBy("doc").agg(F.collect_set(F.struct(F.col("kind"), F.col("h"), F.col("pos"))).alias("wants"))
     near = docs.join(wants, "doc").mapInArrow(contexts, "kind byte, h bigint, doc bigint, pos int, bytes binary")
     near = written(near, "contexts", "kind")
     _release(spark)
