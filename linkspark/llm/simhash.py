@@ -2,7 +2,8 @@
 
 Fingerprints are made in Arrow batches. Distinct fingerprints are then linked: bits fall into `blocks`
 blocks, and two fingerprints within `radius` bits agree in at least blocks - radius of them, so each is
-routed once for every choice of agreeing blocks (pigeonhole; this only decides which pairs meet). Inside
+routed once for every choice of agreeing blocks (pigeonhole; this only decides which pairs meet). There are
+more blocks the more fingerprints there are, so that about BUCKET of them at most agree by chance. Inside
 such a bucket every fingerprint has a row of a pivot table, its Hamming distances to PIVOTS reference
 fingerprints; a pair whose rows differ by more than `radius` in any coordinate cannot be within `radius`
 (triangle inequality) and is discarded, and survivors are verified by exact distance. Buckets give a
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from linkspark.llm.common import on_key, prepare, read, row_key, text_of, written
 from linkspark.llm.components import components
 
-SHINGLE, SEED, RADIUS, BLOCKS, PIVOTS, SPLIT = 4, 42, 4, 6, 16, 50_000
+SHINGLE, SEED, RADIUS, PIVOTS, SPLIT, BUCKET = 4, 42, 4, 16, 50_000, 16
 #: Reference fingerprints: multiples of an odd constant, mixed.
 _REF = (np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, PIVOTS + 1, dtype=np.uint64) << np.uint64(40))
 
@@ -151,9 +152,14 @@ def _linked(routed: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return dealt.mapInArrow(scan, "a bigint, b bigint")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks that leave about BUCKET of n fingerprints, were they random, that agree in all but `radius` blocks."""
+    return next(b for b in range(radius + 2, 65) if n <= BUCKET * 2.0 ** (64 * (b - radius) // b) or b == 2 * radius + 8)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, split: int = SPLIT) -> DataFrame:
     """Links that connect distinct fingerprints (column fp) within `radius` bits, enough for their components."""
-    masks = _choices(list(range(64)), blocks, radius)
+    masks = _choices(list(range(64)), blocks or blocks_for(distinct.count(), radius), radius)
     routed = _routes(distinct.select("fp"), masks, "r").select("fp", F.col("r.t").alias("t"), F.col("r.k").alias("k"))
     hot = written(routed.groupBy("t", "k").count().filter(F.col("count") > split).select("t", "k"), "hot-buckets")
     if hot.isEmpty():
