@@ -2,7 +2,7 @@
 
 Statistics are counts and ratios of the whole text only: labels, language, source and id never enter.
 Partitions sum the normal equations of their rows; sums of a fixed FEATURES x (FEATURES + 1) matrix are merged
-by row and solved on the driver. Calibration pools adjacent violators over a histogram of raw scores with
+by row, as a stream in order of the partitions, and solved on the driver. Calibration pools adjacent violators over a histogram of raw scores with
 a fixed number of bins. Every labelled row outside the held-out fold is used, and rows are weighted by class
 only through their numbers.
 
@@ -16,8 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,20 +111,25 @@ def fit(train: DataFrame) -> Model:
     scale = np.array([max(stats[f"s{i}"] or 0.0, 1e-3) for i in range(len(STATS))])
     model = Model(mean, scale)
     sent = train.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("i", pa.int32()), ("row", pa.binary())])
+    schema = pa.schema([("i", pa.int32()), ("part", pa.int32()), ("row", pa.binary())])
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES, FEATURES + 1))
         for x, y in _batches(it):
             z = sent.value.features(x)
             total += z.T @ np.column_stack([z, y])
-        yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], schema=schema)
-
-    def added(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(r) for r in part["row"]], axis=0)
-        return pd.DataFrame({"i": [int(part["i"].iloc[0])], "row": [total.tobytes()]})
-
-    rows = train.mapInArrow(sums, "i int, row binary").groupBy("i").applyInPandas(added, "i int, row binary").collect()
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES), pa.int32()), pa.array([part] * FEATURES, pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], schema=schema)
+
+    def added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in it:
+            for i, row in zip(batch.column("i").to_pylist(), batch.column("row").to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(row)
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([-1] * len(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=schema)
+
+    types = "i int, part int, row binary"
+    rows = train.mapInArrow(sums, types).repartition("i").sortWithinPartitions("i", "part").mapInArrow(added, types).collect()
     if not rows:
         return model
     both = np.stack([np.frombuffer(r["row"]) for r in sorted(rows)])
