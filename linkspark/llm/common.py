@@ -29,9 +29,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if all run on
+    this machine; else tables would be lost on other machines' disks, and it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         at = f"file://{tempfile.mkdtemp(prefix='linkspark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
