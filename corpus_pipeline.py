@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each over all that the stage before kept."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each over all that the stage before kept.
+
+Defined cases of every stage: a null or empty text fails the base rules and goes first; a null doc_id is kept and is
+larger than any id for near-dedup, below all for line dedup; null language and source are values of their own; rows
+that repeat each other are judged each, leave one row in near-dedup, and are mixed and packed each; an empty table gives an empty
+result; extra columns are kept by all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
