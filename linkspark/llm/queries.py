@@ -19,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE, "op2_mix_sources": mixing.ORACLE, "op4_url_filter": urls.ORACLE}
+    return {"op1_line_dedup": lines.ORACLE, "op2_mix_sources": mixing.ORACLE, "op4_url_filter": urls.ORACLE, "op9_hilbert_shards": sharding.ORACLE}
