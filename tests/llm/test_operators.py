@@ -1,6 +1,7 @@
 """Small cases with defined results for each operator, against brute force where SQL cannot say it."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -52,18 +53,29 @@ def test_line_dedup(spark, texts):
     assert lines.dedup(docs(spark, [])).count() == 0
 
 
-def test_line_runs_compact_and_mark_seen_keys(spark):
-    runs = lines.LineRuns(fanout=2)
-    for at in range(4):
-        t = ["a line that is in each batch of these", f"a line that only batch {at} has in it"]
-        own = runs.add(lines.long_lines(docs(spark, t, [10 * at, 10 * at + 1])))
-        assert own.filter("seen").count() == (at > 0)
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert sorted(r["n_docs"] for r in runs.totals().collect()) == [1, 1, 1, 1, 4]
+def test_line_runs_compact_and_hold_each_key_once(spark):
+    runs = lines.LineRuns(spark, fanout=2)
+    for at in range(5):
+        t = ["a line that is in each batch of these", f"a line that only batch {at} has in it", f"a line in this batch and {at // 2 * 2} of them"]
+        new = runs.add(lines.long_lines(docs(spark, t, [10 * at, 10 * at + 1, 10 * at + 2])))
+        assert new.count() == 1 + (at == 0) + (at % 2 == 0)
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    plan = new.join(runs.levels[2][0].hint("merge"), lines.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    keys = [tuple(r) for run in runs.runs() for r in run.select(*lines.KEY).collect()]
+    assert len(keys) == len(set(keys)) == 9
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.totals().collect()) == sorted([(5, 40), *((1, 10 * i + 1) for i in range(5)), (2, 12), (2, 32), (1, 42)])
+
+
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    x = "a line that many documents have"
+    t = docs(spark, [x, f"{x}\nown", x, x, f"{x}\nown"], [None, 7, 3, 7, None])
+    out = sorted((str(r["_row"]["doc_id"]), r["kept"]) for r in lines.dedup(t).collect())
+    assert out == [("3", ""), ("7", x), ("7", f"{x}\nown"), ("None", ""), ("None", "own")]
 
 
 def test_mixing_targets_and_limits(spark, texts):
-    out = mixing.plan(docs(spark, texts), bucket_rows=4).collect()
+    out = mixing.plan(docs(spark, texts)).collect()
     per = defaultdict(list)
     for r in out:
         per[r["source"]].append(r)
@@ -75,13 +87,75 @@ def test_mixing_targets_and_limits(spark, texts):
         assert target <= 2 * size + 1e-9 and size == sum(r["size"] for r in rows)
         assert abs(sum(r["copies"] * r["size"] for r in rows) - target) <= max(r["size"] for r in rows)
         assert all(0 <= r["copies"] <= 2 for r in rows)
-    again = mixing.plan(docs(spark, texts), bucket_rows=4).collect()
+    again = mixing.plan(docs(spark, texts)).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
-    mixed = Counter(r["doc_id"] for r in mixing.mix(docs(spark, texts), bucket_rows=4).collect())
+    mixed = Counter(r["doc_id"] for r in mixing.mix(docs(spark, texts)).collect())
     assert mixed == Counter({r["_d"]: r["copies"] for r in out if r["copies"]})
     assert mixing.plan(docs(spark, [])).count() == 0
 
 
+def by_rows(rows, seed=mixing.SEED):
+    """The plan of (doc_id, source, words, symbols) without histograms: document by document."""
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    target, free, total = {}, set(sources), 1.5 * sum(size.values())
+    while free:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        full = [s for s in free if level * weight[s] > 2 * size[s]]
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        free -= set(full)
+    out = {}
+    for s in sources:
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        left = target[s] - epochs * size[s]
+        key = lambda r: (-math.log((int(hashlib.md5(f"{r[0]}:{seed}".encode()).hexdigest()[:12], 16) + 1) / 2**48) * (1 + r[3] / max(r[2], 1)), r[0])
+        own = sorted((r for r in rows if r[1] == s), key=key)
+        n = next((i for i, r in enumerate(own) if sum(x[2] for x in own[: i + 1]) > left), len(own)) if left > 0 else 0
+        taken = {r[0] for r in own[:n]}
+        left -= sum(r[2] for r in own[:n])
+        for _ in range(mixing.FILL_PASSES):
+            upto = 0
+            fits = [r for r in own[n : n + mixing.FILL] if r[0] not in taken and r[2] <= left] if left > 0 else []
+            for r in fits:
+                upto += r[2]
+                if upto <= left:
+                    taken.add(r[0])
+            left = target[s] - epochs * size[s] - sum(r[2] for r in own if r[0] in taken)
+        out |= {r[0]: (target[s], epochs + (r[0] in taken)) for r in own}
+    return out
+
+
+@pytest.mark.parametrize("steps,fine", [(mixing.STEPS, mixing.FINE), (1, 2), (1, 4096)])
+def test_mixing_equals_the_plan_by_rows(spark, steps, fine):
+    rnd = random.Random(16)
+    rows = []
+    for i in range(1200):  # source m is mark-up only: 20 symbols a word
+        s, n = ("m" if i % 3 == 0 else "s" if i % 7 else None), rnd.randint(1, 60)
+        rows.append((i, s, n, 20 * n if s == "m" else 0))
+    t = spark.createDataFrame([(i, " ".join(["w" + "#" * (m // n)] * n), s, -1) for i, s, n, m in rows], "doc_id long, text string, source string, rest long")
+    out = {r["_d"]: (r["target"], r["copies"]) for r in mixing.plan(t, steps=steps, fine=fine).collect()}
+    want = by_rows(rows)
+    assert {d: c for d, (_, c) in out.items()} == {d: c for d, (_, c) in want.items()}
+    assert all(abs(out[d][0] - want[d][0]) < 1e-6 * want[d][0] for d in out)
+
+
+def test_mixing_of_a_source_of_mark_up(spark):
+    n = 20_000
+    t = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("w" + "#" * 20).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    sizes = mixing.plan(t).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("t")).collect()
+    assert all(abs(r["n"] - r["t"]) <= 1 for r in sizes)
+
+
+def test_mixing_takes_equal_rows_together(spark):
+    t = docs(spark, ["a b c"] * 4 + ["d e"] * 2 + ["x"], [1, 1, 1, 1, None, None, 2]).withColumn("source", F.lit("s"))
+    out = mixing.plan(t).collect()
+    assert sorted((str(r["_d"]), r["size"], r["rows"]) for r in out) == [("1", 3, 4), ("2", 1, 1), ("None", 2, 2)]
+
+
 def slow_print(text):
     low = (text or "").translate(str.maketrans(urls.UPPER, urls.LOWER))
     w = [x for x in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in low).split(" ") if x]
@@ -151,6 +225,62 @@ def test_url_trie(spark):
     out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df).collect()}
     assert [out[i] for i in range(len(cases))] == list(cases.values())
     assert urls.Trie([("block", "a.b", "/x"), ("allow", "a.b", "/x/y/")]).match("a.b", "/xyz") == ("block", "a.b/x")
+    assert urls.Trie([("block", "com", "/aaaaaaaaaa"), ("allow", "a.com", "/")]).match("a.com", "/aaaaaaaaaab") == ("block", "com/aaaaaaaaaa")
+    assert urls.Trie([("block", "com", "/ab"), ("allow", "a.com", "/")]).match("a.com", "/ab") == ("allow", "a.com/")
+    assert urls.Trie([("block", "com", "/ab"), ("allow", "com", "/ab")]).match("com", "/ab") == ("allow", "com/ab")
+
+
+def test_urls_keep_other_columns_and_repeated_rows(spark):
+    t = spark.createDataFrame([(1, "http://a.com/", "keep"), (1, "http://a.com/", "keep"), (None, None, None)], "page_id long, url string, _j string")
+    out = urls.judge(t)
+    assert out.columns == ["page_id", "url", "_j", "host", "path", "rule", "verdict"]
+    assert sorted(str(r["_j"]) for r in out.collect()) == ["None", "keep", "keep"] and urls.judge(t.filter("false")).count() == 0
+
+
+def test_url_rules_as_a_table(spark):
+    rnd = random.Random(17)
+    host = lambda: ".".join(rnd.choice(("a", "b", "com", "net")) for _ in range(rnd.randint(1, 4)))
+    path = lambda: rnd.choice(("/", "/x", "/x/", "/x/y", "/x/y/", "/xy"))
+    rules = [(rnd.choice(("allow", "block")), host(), path()) for _ in range(60)]
+    t = [f"http://{host()}{path()}{rnd.choice(('', 'z', '/z?q', '#x'))}" for _ in range(300)] + [None, "", "x", "http://"] * 2
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(t)], "page_id long, url string, j string")
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "verdict string, host string, path string, no int")
+    a, b = (sorted(f(df, r).collect()) for f, r in ((urls.judge, rules), (urls.judge_by_table, table)))
+    slow = {}
+    for i, u in enumerate(t):
+        h, p = urls.parts(u)
+        fits = [(len(x + y), len(x), no, x + y, v) for no, (v, x, y) in enumerate(rules) if (h == x or h.endswith("." + x)) and p.startswith(y)]
+        slow[i] = max(fits)[3:] if fits else (None, "allow")
+    assert a == b and {r["page_id"]: (r["rule"], r["verdict"]) for r in a} == slow
+
+
+def test_classifier_equals_direct_ridge_and_pools(spark):
+    rnd = random.Random(18)
+    t = [words(rnd, rnd.randint(1, 60)) + "#" * rnd.randint(0, 9) for _ in range(150)]
+    y = [int(rnd.random() < 0.3 + 0.4 * ("#" in x)) for x in t]
+    labels = spark.createDataFrame([*enumerate(y), (150, 1), (0, 7)], "doc_id long, quality int")
+    out = {r["_d"]: r["score"] for r in classifier.classify(docs(spark, [*t, None]).repartition(3), labels).collect()}
+    x = np.array([classifier.statistics(a) for a in [*t, None]])
+    own = [i for i in range(151) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = classifier.Model(x[own].mean(axis=0), np.maximum(x[own].std(axis=0), 1e-3))
+    z, want = model.features(x), np.array([*y, 1.0])
+    k = classifier.FEATURES
+    raw = z @ np.linalg.solve(z[own].T @ z[own] + classifier.RIDGE * len(own) / k * np.eye(k), z[own].T @ want[own])
+    bins = np.rint(raw * classifier.BINS)
+    at = sorted(set(bins[own]))
+    n, ones = (np.array([sum(v for b, v in zip(bins[own], w) if b == a) for a in at]) for w in (np.ones(len(own)), want[own]))
+    # isotonic regression by its min-max formula
+    fit = [max(min(ones[i : j + 1].sum() / n[i : j + 1].sum() for j in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))]
+    assert len(out) == 151 and all(abs(out[i] - np.interp(raw[i], np.array(at) / classifier.BINS, fit)) < 2e-2 for i in range(151))
+    assert np.mean([abs(out[i] - np.interp(raw[i], np.array(at) / classifier.BINS, fit)) < 1e-6 for i in range(151)]) > 0.95
+
+
+def test_classifier_of_empty_repeated_and_long_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, 1)], "doc_id long, quality int")
+    t = docs(spark, ["a b", "a b", "##", None, "x " * 300_000], [1, 1, 2, None, 5])
+    out = classifier.classify(t, labels).collect()
+    assert len(out) == 5 and len({r["score"] for r in out if r["_d"] == 1}) == 1 and not [r for r in out if r["_d"] is None][0]["held_out"]
+    assert classifier.classify(docs(spark, []), labels).count() == 0
 
 
 def test_classifier_learns_and_scores_everything(spark):
@@ -181,12 +311,13 @@ def brute_repeats(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_repeated_strings(spark, texts, hot, monkeypatch):
+@pytest.mark.parametrize("hot,group", [(512, 1024), (2, 1024), (512, 3)])
+def test_repeated_strings(spark, texts, hot, group, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "GROUP", group)
     rnd = random.Random(9)
     passage = words(rnd, 14)
-    t = [x for x in texts if x is None or len(x) < 20_000] + [words(rnd, 30) + passage + words(rnd, 30) for _ in range(12)] + ["é" * 120, "é" * 90]
+    t = [*texts, *[words(rnd, 30) + passage + words(rnd, 30) for _ in range(12)], "é" * 120, "é" * 90]
     out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.dedup(docs(spark, t), batches=5).collect()}
     assert out == brute_repeats([(i, (x or "").encode()) for i, x in enumerate(t)])
 
@@ -211,6 +342,17 @@ def test_repeated_strings_that_become_hot_in_a_later_batch(spark):
     assert out == brute_repeats([(i, x.encode()) for i, x in enumerate(t)])
 
 
+def test_repeated_windows_against_brute_force():
+    rnd = random.Random(15)
+    for n in (8, 9, 30, 200, 2000):
+        for kinds in (1, 2, 20, 400):
+            w = [f"w{rnd.randrange(kinds)}" for _ in range(n)]
+            w += w[: rnd.choice((0, 7, 8, 12))]
+            seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+            twice = {i + j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(8)}
+            assert rules.base_counts(" ".join(w))[4] == len(twice)
+
+
 def test_base_counts():
     assert rules.base_counts(None) == (0, 0, 0, 0, 0)
     w = "a b c d e f g h".split()
@@ -226,22 +368,23 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
-def brute_perplexities(chunks):
-    """Mean negative log probability of each text by recursion over dictionaries; chunks: lists of texts as symbols."""
+def brute_perplexities(texts):
+    """Mean negative log probability of each text of a model (symbols) by recursion over dictionaries."""
     pad, order = list(rules.PAD), rules.ORDER
-    seen, counts = set(), [Counter() for _ in range(order + 1)]
-    for chunk in chunks:
-        for t in chunk:
-            s, unit = pad + t, []
-            for i, x in enumerate(s):
-                unit.append(i)
-                if x == rules.MARK or i == len(s) - 1:
-                    key = tuple(s[j] for j in unit)
-                    if len(key) < rules.LEAST_UNIT or key not in seen:
-                        counts[order].update(tuple(s[j - order + 1 : j + 1]) for j in unit if j >= len(pad))
-                    if len(key) >= rules.LEAST_UNIT:
-                        seen.add(key)
-                    unit = []
+    counts = [Counter() for _ in range(order + 1)]
+    found = defaultdict(list)  # (symbols before, its n-grams) of each long unit
+    for t in texts:
+        s, first = pad + t, 0
+        for i, x in enumerate(s):
+            if x == rules.MARK or i == len(s) - 1:
+                grams = [tuple(s[j - order + 1 : j + 1]) for j in range(max(first, len(pad)), i + 1)]
+                if i + 1 - first < rules.LEAST_UNIT:
+                    counts[order].update(grams)
+                else:
+                    found[tuple(s[first : i + 1])].append((s[first - order + 1 : first] if first else [0] * (order - 1), grams))
+                first = i + 1
+    for each in found.values():
+        counts[order].update(min(each)[1])
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     off, total, back = [None], [None], [None]
@@ -261,11 +404,11 @@ def brute_perplexities(chunks):
         n = total[k][g[:-1]]
         return (counts[k][g] - off[k].get(g, 0)) / n + back[k][g[:-1]] / n * lower if n else lower
 
-    return [[np.mean([-np.log(p(tuple((pad + t)[i : i + order]))) for i in range(len(t))]) if t else None for t in chunk] for chunk in chunks]
+    return [np.mean([-np.log(p(tuple((pad + t)[i : i + order]))) for i in range(len(t))]) if t else None for t in texts]
 
 
 @pytest.mark.parametrize("least", [1500, rules.CHUNK])
-def test_perplexities_equal_brute_force(spark, least):
+def test_perplexities_equal_brute_force(spark, least, monkeypatch):
     rnd = random.Random(8)
     base = [". ".join(words(rnd, rnd.randint(3, 30), 90) for _ in range(6)) for _ in range(12)]
     t = [None, "", "a", "é!", "..,", *base, *base[:5], *(b.replace("w0", "W1", 1) for b in base[:4]), "ab" * 1500]
@@ -283,12 +426,16 @@ def test_perplexities_equal_brute_force(spark, least):
         every.append(texts)
     for m in sorted({r["model"] for r in parts}):
         own = [i for i, r in enumerate(parts) if r["model"] == m]
-        for i, nlls in zip(own, brute_perplexities([every[i] for i in own])):
-            expected |= {row["_d"]: x for row, x in zip(parts[i]["info"], nlls)}
+        ids = [row["_d"] for i in own for row in parts[i]["info"]]
+        expected |= dict(zip(ids, brute_perplexities([t for i in own for t in every[i]])))
     out = {r["_d"]: r["nll"] for r in rules.scores(table, langs, least).collect()}
     assert out.keys() == expected.keys() == set(range(len(t)))
     for d, x in expected.items():
         assert (out[d] is None and x is None) or abs(out[d] - x) < 1e-3, d
+    for name, few in (("MOST_SHARDS", 3), ("BLOCK", 2), ("MERGED", 50)):
+        monkeypatch.setattr(rules, name, few)
+    again = {r["_d"]: r["nll"] for r in rules.scores(table.repartition(7, F.col("text")), langs, least).collect()}
+    assert again == out  # neither layout nor shards nor blocks matter
 
 
 def test_every_language_has_a_model_and_a_band(spark):
@@ -349,6 +496,38 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_neighbours_with_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(5000, (x[0] * 1.01 + 0.001).tolist(), "clash")] * 8 + [(0, x[0].tolist(), "clash")] * 3
+    rows += [(77, (x[0] * 2).tolist(), "clash")]  # a second vector of an id: its best counts
+    out = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")).collect()}
+    assert sorted(out) == [(q, k) for q in [*range(0, 300, 50), 5000] for k in range(1, 6)]
+    assert out[0, 1][0] == 77 and abs(out[0, 1][1] - 1) < 1e-12 and out[0, 2][0] == 5000 and len({out[0, k][0] for k in range(1, 6)}) == 5
+
+
+def test_nearest_neighbours_of_many_ties(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=8)
+    rows = [(i, w.tolist()) for i, w in enumerate(rng.normal(size=(100, 8)))] + [(2000 + (7 * i) % 24, (v * 2.0 ** (i - 12)).tolist()) for i in range(24)]
+    out = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(x for x in out if x[0] == 2000) == [(2000, k, 2000 + k) for k in range(1, 6)]
+
+
+def test_nearest_neighbours_in_clusters_and_with_few_candidates(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 16))).astype(np.float32)
+    out = defaultdict(set)
+    for r in neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        out[r["query_id"]].add(r["vec_id"])
+    u = neighbours.unit(x.astype(float))
+    hits = sum(len(out[q] & set(np.argsort(-np.where(np.arange(3000) == q, -2, u @ u[q]))[:5].tolist())) for q in range(0, 3000, 50))
+    assert hits >= 0.9 * 5 * 60
+    few = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(few)] == [(1, 2), (2, 1)]
+
+
 def test_hilbert_curves_agree_and_are_continuous(spark):
     n, bits = 3, 3
     grid = np.stack(np.meshgrid(*[range(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
@@ -372,6 +551,47 @@ def test_shards(spark, texts):
     assert Counter(r["shard"] for r in same) == {i: 5 for i in range(8)}
 
 
+def test_shards_follow_the_curve_and_are_written_by_slot(spark, texts, tmp_path):
+    t = docs(spark, texts)
+    out = {r["doc_id"]: r for r in sharding.assign(t).collect()}
+    number = lambda x: int(hashlib.md5((x or "").encode()).hexdigest()[:8], 16) % 16
+    rows = {r["doc_id"]: r for r in t.collect()}
+    point = lambda i: (number(rows[i]["source"]), number(rows[i]["lang"]), min(15, int(math.log2(out[i]["size"]))), int(i / len(texts) * 16))
+    ids = sorted(out, key=lambda i: (out[i]["shard"], out[i]["slot"]))
+    curve = hilbert.hilbert_numpy(np.array([point(i) for i in ids]), 4)
+    assert (np.diff(curve) >= 0).all()
+    sharding.write_shards(t, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards")).select("shard", "slot", "row.*").collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"], r["text"]) for r in back} == {i: (out[i]["shard"], out[i]["slot"], texts[i]) for i in out}
+
+
+def test_packing_follows_the_curve(spark, texts):
+    tokens = packing.tokenised(docs(spark, texts))
+    rows = {r["_id"]: r for r in tokens.collect()}
+    at = {r["_id"]: r["_at"] for r in packing.places(tokens).collect()}
+    ids = sorted(at, key=at.get)
+    assert [rows[i]["key"] for i in ids] == sorted(r["key"] for r in rows.values())
+    assert [at[i] for i in ids] == [0, *np.cumsum([rows[i]["n_tokens"] for i in ids])[:-1].tolist()]
+    words = packing.Words.of(packing.default_tokenizer())
+    project = packing._projection(words.vocabulary)
+    for r in rows.values():
+        x = np.frombuffer(r["ids"], "<u4")[:-1]
+        point = project[:, x].sum(axis=1) / math.sqrt(max(len(x), 1))
+        grid = np.clip((point / packing.SPAN + 0.5) * (1 << packing.BITS), 0, (1 << packing.BITS) - 1).astype(int)
+        assert hilbert.hilbert_numpy(grid[None], packing.BITS)[0] == r["key"]
+
+
+def test_packing_of_null_ids_and_forgotten_words(spark, texts, monkeypatch):
+    assert sorted(str(r["doc_id"]) for r in packing.pack(docs(spark, ["a", "a", "b"], [None, None, 1])).collect()) == ["1", "None", "None"]
+    plain = packing.Words(packing.default_tokenizer())
+    for name, few in (("ENTRIES", 50), ("RECENT", 7), ("SEGMENT", 300)):
+        monkeypatch.setattr(packing, name, few)
+    small = packing.Words(packing.default_tokenizer())
+    raw = [(t or "").encode() for t in texts]
+    assert [x for t in raw for x in small.ids([t])] == [np.array(plain.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in raw]
+    assert sum(len(t[0]) for t in small.tables) < 1000
+
+
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
@@ -400,6 +620,34 @@ def test_pipeline_runs(spark, tmp_path):
     assert out and {r["doc_id"] for r in out} <= set(range(30))
 
 
+def test_pipeline_of_an_empty_table_and_of_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "a")).count() == 0
+    rnd = random.Random(19)
+    t = [words(rnd, 60) for _ in range(12)]
+    d = docs(spark, [*t, t[0], None, ""], [*[None] * 6, *range(7), None, None])
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality_rules", "line_dedup", "near_dedup", "mix"):
+        d = stages[name](spark, d, "")
+        assert d.columns == DOCS.replace(",", "").split()[::2]
+        d = spark.createDataFrame(d.collect(), DOCS)
+        if name == "near_dedup":
+            assert Counter(r["text"] for r in d.collect()) == Counter(t)
+
+
+def test_languages_band_against_brute_force(spark):
+    rnd = random.Random(20)
+    rows = [(k % 3, round(rnd.gauss(2 + k % 3, 0.3), 4) if k % 11 else None, rnd.randint(1, 60)) for k in range(200)]
+    out = {r["model"]: (r["middle"], r["spread"]) for r in rules.bands(spark.createDataFrame(rows, "model int, nll double, n_words long")).collect()}
+    for m in range(3):
+        x = sorted(round(v * 1000) for k, v, n in rows if k == m and v is not None and n >= 20)
+        middle = x[(len(x) - 1) // 2]
+        off = sorted(abs(v - middle) for v in x)
+        assert np.allclose(out[m], (middle / 1000, off[(len(x) - 1) // 2] / 1000 * 1.4826))
+
+
 def test_cached_words_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
