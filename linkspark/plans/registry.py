@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import similarity as S
@@ -22,10 +22,10 @@ _SQL: dict[str, str] = {}
 _NORM = r"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _TOK = "array_to_string(list_sort(list_distinct(string_split({c}, ' '))), ' ')"
 _ENT = f"""WITH raw AS (SELECT (doc_id % 3 + 1)::INT AS src, 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS id,
-  left(split_part(trim(text), chr(10), 1), 64) AS bn, right(trim(text), 64) AS ba, lang AS country, text AS t FROM documents),
+  split_part(trim(text), chr(10), 1) AS bn, split_part(trim(text), chr(10), -1) AS ba, lang AS country, text AS t FROM documents),
 nrm AS (SELECT *, {_NORM.format(c="bn")} AS name_norm, {_NORM.format(c="ba")} AS address_norm FROM raw),
 ent AS (SELECT *, replace(name_norm, ' ', '') AS name_compact, replace(address_norm, ' ', '') AS address_compact, {_TOK.format(c="name_norm")} AS name_tokens, {_TOK.format(c="address_norm")} AS address_tokens FROM nrm),
-tru AS (SELECT a.id AS s, b.id AS x FROM (SELECT id, left(replace({_NORM.format(c="t")}, ' ', ''), 120) AS k FROM raw WHERE src = 1) a JOIN (SELECT id, left(replace({_NORM.format(c="t")}, ' ', ''), 120) AS k FROM raw WHERE src > 1) b ON a.k = b.k AND a.k <> '')
+tru AS (SELECT a.id AS s, b.id AS x FROM (SELECT id, replace({_NORM.format(c="t")}, ' ', '') AS k FROM raw WHERE src = 1) a JOIN (SELECT id, replace({_NORM.format(c="t")}, ' ', '') AS k FROM raw WHERE src > 1) b ON a.k = b.k AND a.k <> '')
 """
 _KEY = {
     "exact_name": "name_norm", "compact_name": "name_compact", "exact_address": "address_norm", "compact_address": "address_compact", "name_tokens": "name_tokens", "address_tokens": "address_tokens",
@@ -75,8 +75,9 @@ def _s1(ents: DataFrame) -> DataFrame:
 
 
 def _truth(ents: DataFrame) -> DataFrame:
-    k = F.left(T.compact(T.normalize(F.col("_text"))), F.lit(120))
-    rows = ents.select("src", "entity_id", k.alias("k")).filter("k <> ''")
+    """Pairs whose whole texts are equal but for marks, case and spaces; they meet by a 128-bit hash."""
+    rows = ents.select("src", "entity_id", T.compact(T.normalize(F.col("_text"))).alias("k")).filter("k <> ''")
+    rows = rows.select("src", "entity_id", F.md5(F.col("k").cast("binary")).alias("k"))
     left = rows.filter("src = 1").select("k", F.col("entity_id").alias("source1_entity_id"))
     return left.join(rows.filter("src > 1").select("k", F.col("entity_id").alias("target_entity_id")), "k").select(*E.PAIR).distinct()
 
@@ -123,7 +124,7 @@ for _n, _r, _s in (
     ("name_token_pairs", [B.rule("name_tokens")], "none"), ("address_token_pairs", [B.rule("address_tokens")], "none"), ("capped_name_5", [B.rule("exact_name", 1, 5)], "both"), ("capped_name_20", [B.rule("exact_name", 1, 20)], "both"),
     ("capped_all_rules", B.R_MAIN, "both"), ("high_recall_exact_layer", B.R_HIGH, "both"), ("country_first_word", [B.rule("first_word_country", 5, 20)], "both"), ("country_prefix6", [B.rule("prefix6_country", 6, 15)], "both"),
     ("target_cap_union", B.R_EXP1, "target"), ("target_cap_union_wide", B.R_EXP2, "target"), ("target_cap_small", [B.rule("exact_name", 3, 10), B.rule("prefix6", 3, 8)], "target"), ("suffix6_pairs", [B.rule("suffix6", 3, 250)], "target"),
-    ("composite_country_pairs", B.R_NEXT, "none"), ("benchmark_rule_pairs", B.R_BENCH, "none"), ("streamed_rule_pairs", B.R_STREAM, "none"), ("name_core_capped_20", B.R_CORE[20], "both"), ("name_core_capped_200", B.R_CORE[200], "both"),
+    ("composite_country_pairs", B.R_NEXT, "none"), ("benchmark_rule_pairs", B.R_BENCH, "none"), ("streamed_rule_pairs", B.R_STREAM, "none"), *((f"name_core_capped_{c}", r, "both") for c, r in B.R_CORE.items()),
 ):
     _register_pairs(_n, _r, _s)
 
@@ -198,11 +199,22 @@ def cap_sensitivity(spark, d):
     return B.cap_sweep(e, _truth(e))
 
 
-@query("rule_benchmark", f"""{_ENT}, p AS ({_pairs_sql(B.R_BENCH, 'none', True)}), q AS (SELECT rule, s, x FROM p UNION SELECT 'COMBINED', s, x FROM p)
- SELECT rule, count(*) AS pairs, count(DISTINCT q.s) AS s1_with_candidates, count(t.s) AS hits FROM q LEFT JOIN (SELECT DISTINCT * FROM tru) t ON q.s = t.s AND q.x = t.x GROUP BY rule""")
+_BENCH = f"""{_ENT}, p AS ({_pairs_sql(B.R_BENCH, 'none', True)}), q AS (SELECT rule, s, x FROM p UNION SELECT 'COMBINED', s, x FROM p), t AS (SELECT DISTINCT * FROM tru),
+ g AS (SELECT left(q.x, 2) AS target, rule, count(*) AS candidate_pairs, count(DISTINCT q.s) AS s1_with_candidates, count(t.s) AS true_matches_found FROM q LEFT JOIN t ON q.s = t.s AND q.x = t.x GROUP BY ALL),
+ h AS (SELECT g.*, (SELECT count(*) FROM t WHERE left(t.x, 2) = g.target) AS true_matches_total, (SELECT count(*) FROM ent WHERE src = 1) AS n FROM g),
+ bench AS (SELECT target, rule, candidate_pairs, s1_with_candidates, true_matches_found, true_matches_total, CASE WHEN true_matches_total > 0 THEN round(true_matches_found / true_matches_total, 6) END AS recall, round(candidate_pairs / n, 6) AS avg_candidates FROM h)"""
+
+
+@query("rule_benchmark", f"{_BENCH} SELECT * FROM bench")
 def rule_benchmark(spark, d):
     e = _ents(spark, d)
-    return E.rule_benchmark(B.rule_pairs(e, B.R_BENCH, "none"), _truth(e))
+    return E.rule_benchmark(B.rule_pairs(e, B.R_BENCH, "none"), _truth(e), _s1(e))
+
+
+@query("benchmark_report", f"""{_BENCH} SELECT target, rule, target || ' / ' || rule || format(chr(10) || '  candidate pairs: {{:,}}', candidate_pairs) || format(chr(10) || '  S1 with candidates: {{:,}}', s1_with_candidates)
+ || format(chr(10) || '  true matches found: {{:,}}', true_matches_found) || format(chr(10) || '  true matches total: {{:,}}', true_matches_total) || printf(chr(10) || '  recall: %.4f%%', coalesce(recall, 0) * 100) || printf(chr(10) || '  avg candidates/S1: %.2f', avg_candidates) AS block FROM bench""")
+def benchmark_report(spark, d):
+    return sinks.report(rule_benchmark(spark, d))
 
 
 @query("cumulative_recall", f"""{_ENT}, p AS ({_pairs_sql(B.R_MAIN, 'both', True)}), f AS (SELECT s, x, min(no) AS no FROM p GROUP BY s, x),
@@ -227,9 +239,7 @@ def truth_pairs(spark, d):
     for g in ("S2", "S3")))))
 def recall_by_target(spark, d):
     e = _ents(spark, d)
-    p, t = B.pairs(e, B.R_MAIN), _truth(e)
-    rows = [E.recall(p.filter(F.col("target_entity_id").startswith(f"{g}-")), t.filter(F.col("target_entity_id").startswith(f"{g}-")), _s1(e)).withColumn("target", F.lit(g)) for g in ("S2", "S3")]
-    return rows[0].unionByName(rows[1])
+    return E.recall_by_target(B.pairs(e, B.R_MAIN), _truth(e), _s1(e))
 
 
 @query("macro_f05", f"""{_ENT}, p AS (SELECT DISTINCT * FROM ({_pairs_sql(B.R_MAIN, 'both')})), t AS (SELECT DISTINCT * FROM tru),
@@ -260,10 +270,14 @@ def empty_template(spark, d):
     return sinks.empty_template(_s1(_ents(spark, d)))
 
 
-@query("key_index", f"{_ENT} SELECT name_norm AS key, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM ent WHERE src > 1 AND name_norm <> '' GROUP BY 1")
+@query("key_index", f"""{_ENT}, r AS (SELECT name_norm AS key, id, (row_number() OVER (PARTITION BY name_norm ORDER BY id) - 1) // 1000 AS part FROM ent WHERE src > 1 AND name_norm <> '')
+ SELECT key, part, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM r GROUP BY key, part""")
 def key_index(spark, d):
-    t = _ents(spark, d).filter("src > 1 AND name_norm <> ''")
-    return t.groupBy(F.col("name_norm").alias("key")).agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("ids"), F.count("*").alias("n"))
+    """Lists of at most 1000 ids a key, in order: a frequent key has many."""
+    t = _ents(spark, d).filter("src > 1 AND name_norm <> ''").select(F.col("name_norm").alias("key"), "entity_id")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("entity_id")) - 1
+    t = t.withColumn("part", F.floor(place / 1000).cast("long"))
+    return t.groupBy("key", "part").agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("ids"), F.count("*").alias("n"))
 
 
 @query("index_summary", f"""{_ENT}, c AS (SELECT e.id, count(b.id) AS n FROM ent e LEFT JOIN ent b ON b.src > 1 AND e.name_norm = b.name_norm AND e.name_norm <> '' WHERE e.src = 1 GROUP BY e.id)
@@ -280,6 +294,14 @@ def name_profile(spark, d):
     return E.frequency_profile(_ents(spark, d), "name_norm")
 
 
+_PROFILE = "count(*) AS n_rows, count(DISTINCT address_norm) AS n_distinct, count(*) FILTER (address_norm = '') AS n_empty, count(*) FILTER (address_norm <> '') AS n_nonempty"
+
+
+@query("address_profile", f"{_ENT} SELECT src, {_PROFILE} FROM ent GROUP BY src")
+def address_profile(spark, d):
+    return E.frequency_profile(_ents(spark, d), "address_norm", "src")
+
+
 @query("top_names", f"{_ENT} SELECT name_norm AS value, count(*) AS freq FROM ent WHERE name_norm <> '' GROUP BY 1 ORDER BY freq DESC, value LIMIT 20")
 def top_names(spark, d):
     return E.top_values(_ents(spark, d), "name_norm")
@@ -290,9 +312,18 @@ def country_distribution(spark, d):
     return _ents(spark, d).groupBy("country", "src").agg(F.count("*").alias("n"))
 
 
-@query("null_counts", "SELECT * FROM (SELECT 'c_custkey' AS column_name, 'bigint' AS dtype, count(*) FILTER (c_custkey IS NULL) AS nulls FROM customer UNION ALL SELECT 'c_name', 'string', count(*) FILTER (c_name IS NULL) FROM customer UNION ALL SELECT 'c_acctbal', 'double', count(*) FILTER (c_acctbal IS NULL) FROM customer)")
+_CUSTOMER = (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))
+_NULLS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(*) FILTER ({c} IS NULL) AS nulls@MORE@ FROM customer" for c, t in _CUSTOMER)
+
+
+@query("null_counts", _NULLS.replace("@MORE@", ""))
 def null_counts(spark, d):
-    return E.null_counts(readers.parquet(spark, f"{d}/customer.parquet", ["c_custkey", "c_name", "c_acctbal"]))
+    return E.null_counts(readers.parquet(spark, f"{d}/customer.parquet"))
+
+
+@query("table_shape", _NULLS.replace("@MORE@", f", count(*) AS n_rows, {len(_CUSTOMER)} AS n_columns"))
+def table_shape(spark, d):
+    return E.shape(readers.parquet(spark, f"{d}/customer.parquet"))
 
 
 @query("part_name_profile", "SELECT count(*) AS n_rows, count(DISTINCT p_name) AS n_distinct, count(*) FILTER (p_name = '') AS n_empty, count(*) FILTER (p_name <> '') AS n_nonempty FROM part")
@@ -302,38 +333,56 @@ def part_name_profile(spark, d):
 
 # ---- validation ------------------------------------------------------------------------------------------
 
-_FAULTY = """l AS (SELECT CASE WHEN doc_id % 30 = 0 THEN id WHEN doc_id % 42 = 0 THEN id || chr(9) || 'S1-1,X9,S2-00000001,S2-00000001' WHEN doc_id % 66 = 0 THEN id || 'q' || chr(9) || 'S3-99999999' WHEN doc_id % 78 = 0 THEN '' ELSE id || chr(9) || 'S2-00000001,S3-00000002' END AS value, id
-  FROM (SELECT doc_id, 'S1-' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT 'S1-00000003' || chr(9) || 'S2-00000001', '')"""
+_LINES = (  # (doc_id divisible by, the line after the id): the first that fits
+    (30, ""), (42, "\tS1-1,X9,S2-00000001,S2-00000001"), (66, "q\tS3-99999999"), (78, None), (90, "\t   "), (102, "\tS2-00000001,"), (114, "\tS2-00000001,,S3-00000002"), (126, "\tS2-00000001\tS3-00000002"),
+    (1, "\tS2-00000001,S3-00000002"),
+)
+_EXTRA = ("S1-00000003\tS2-00000001", "\t", "source1_entity_id\tcandidate_entity_ids", "   ", "")
+
+
+def _as_sql(text: str) -> str:
+    return "'" + text.replace("\t", "' || chr(9) || '") + "'"
+
+
+_FAULTY = f"""l AS (SELECT CASE {' '.join(f"WHEN doc_id % {n} = 0 THEN {chr(39) * 2 if rest is None else 'id || ' + _as_sql(rest)}" for n, rest in _LINES)} END AS value, doc_id AS line
+  FROM (SELECT doc_id, 'S1-' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents WHERE doc_id % 3 = 0) UNION ALL {' UNION ALL '.join(f'SELECT {_as_sql(x)}, {-i - 1}' for i, x in enumerate(_EXTRA))})"""
 
 
 def _faulty(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a result file with each kind of fault."""
     ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id").filter("doc_id % 3 = 0")
     i = F.concat(F.lit("S1-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    by = lambda n: F.col("doc_id") % n == 0
-    value = (
-        F.when(by(30), i).when(by(42), F.concat(i, F.lit("\tS1-1,X9,S2-00000001,S2-00000001"))).when(by(66), F.concat(i, F.lit("q\tS3-99999999")))
-        .when(by(78), F.lit("")).otherwise(F.concat(i, F.lit("\tS2-00000001,S3-00000002")))
-    )
-    return ids.select(value.alias("value")).unionByName(spark.createDataFrame([("S1-00000003\tS2-00000001",)], "value string"))
-
-
-@query("validate_findings", f"""WITH {_FAULTY}, r AS (SELECT value, split_part(value, chr(9), 1) AS id, string_split(split_part(value, chr(9), 2), ',') AS ids FROM l WHERE contains(value, chr(9))),
- e AS (SELECT id, unnest(ids) AS t FROM r), q AS (SELECT 'S1-' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents WHERE doc_id % 3 = 0), k AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS t FROM documents WHERE doc_id % 3 > 0),
- f AS (SELECT 'no_tab' AS c, value AS x FROM l WHERE value <> '' AND NOT contains(value, chr(9)) UNION ALL SELECT 'duplicate_row', id FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'repeated_id', id FROM r WHERE len(ids) <> len(list_distinct(ids))
-  UNION ALL SELECT 'self_match', t FROM e WHERE t LIKE 'S1-%' UNION ALL SELECT 'bad_prefix', t FROM e WHERE NOT regexp_matches(t, '^S[123]-') UNION ALL SELECT 'missing_s1', id FROM q WHERE id NOT IN (SELECT id FROM r)
-  UNION ALL SELECT 'unexpected_s1', id FROM (SELECT DISTINCT id FROM r) WHERE id NOT IN (SELECT id FROM q) UNION ALL SELECT 'unknown_id', t FROM e WHERE regexp_matches(t, '^S[23]-') AND t NOT IN (SELECT t FROM k)),
- g AS (SELECT c, x, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY x) AS rn FROM f GROUP BY c, x)
+    value = F.coalesce(*[F.when(F.col("doc_id") % n == 0, F.lit("") if rest is None else F.concat(i, F.lit(rest))) for n, rest in _LINES])
+    extra = spark.createDataFrame([(x, -k - 1) for k, x in enumerate(_EXTRA)], "value string, line bigint")
+    return ids.select(value.alias("value"), F.col("doc_id").alias("line")).unionByName(extra)
+
+
+@query("validate_findings", f"""WITH {_FAULTY}, p AS (SELECT value, contains(value, chr(9)) AS tab, split_part(value, chr(9), 1) AS id, substr(value, instr(value, chr(9)) + 1) AS rest FROM l),
+ r AS (SELECT id, CASE WHEN trim(rest, ' ' || chr(9)) = '' THEN [] ELSE string_split(rest, ',') END AS ids FROM p WHERE tab), e AS (SELECT DISTINCT id, unnest(ids) AS t FROM r),
+ q AS (SELECT 'S1-' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents WHERE doc_id % 3 = 0), k AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS t FROM documents WHERE doc_id % 3 > 0),
+ f AS (SELECT 'no_tab' AS c, value AS x, count(*) AS n FROM p WHERE NOT tab AND trim(value) <> '' GROUP BY value UNION ALL SELECT 'duplicate_row', id, 1 FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'repeated_id', id, 1 FROM r WHERE len(ids) <> len(list_distinct(ids))
+  UNION ALL SELECT DISTINCT 'self_match', t, 1 FROM e WHERE t LIKE 'S1-%' UNION ALL SELECT DISTINCT 'bad_prefix', t, 1 FROM e WHERE NOT regexp_matches(t, '^S[123]-') UNION ALL SELECT 'missing_s1', id, 1 FROM q WHERE id NOT IN (SELECT id FROM r)
+  UNION ALL SELECT DISTINCT 'unexpected_s1', id, 1 FROM r WHERE id NOT IN (SELECT id FROM q) UNION ALL SELECT DISTINCT 'unknown_id', t, 1 FROM e WHERE regexp_matches(t, '^S[23]-') AND t NOT IN (SELECT t FROM k)),
+ g AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY x) AS rn FROM f)
  SELECT c AS "check", sum(n)::BIGINT AS n, string_agg(x, ';' ORDER BY x) FILTER (rn <= 5) AS examples FROM g GROUP BY c""")
 def validate_findings(spark, d):
     e = _ents(spark, d)
     return E.findings(_faulty(spark, d), _s1(e), e.filter("src > 1").select(F.col("entity_id").alias("target_entity_id")))
 
 
-@query("quick_check", f"""WITH {_FAULTY}, r AS (SELECT value, contains(value, chr(9)) AS tab, CASE WHEN contains(value, chr(9)) THEN len(string_split(split_part(value, chr(9), 2), ',')) ELSE 0 END AS k FROM l WHERE value <> '')
- SELECT count(*) AS n_rows, sum(k)::BIGINT AS n_pairs, CASE WHEN count(*) FILTER (NOT tab) > 0 THEN 'columns' END AS first_fault, round(sum(k) / count(*), 6) AS avg_candidates FROM r""")
-def quick_check(spark, d):
-    return E.quick_check(_faulty(spark, d))
+def _quick_sql(where: str) -> str:
+    return f"""WITH {_FAULTY}, p AS (SELECT line, CASE WHEN value = '' THEN [] ELSE string_split(value, chr(9)) END AS f FROM l WHERE {where}),
+ r AS (SELECT line, len(f) AS n, f[1] AS id, CASE WHEN coalesce(f[2], '') = '' THEN [] ELSE string_split(f[2], ',') END AS ids FROM p),
+ s AS (SELECT *, CASE WHEN n <> 2 THEN 'columns' WHEN NOT starts_with(id, 'S1-') THEN 's1_prefix' WHEN len(ids) <> len(list_distinct(ids)) THEN 'repeated_id' WHEN len(list_filter(ids, lambda t: NOT regexp_matches(t, '^S[23]-'))) > 0 THEN 'target_prefix' END AS fault FROM r)
+ SELECT count(*) AS n_rows, sum(len(ids))::BIGINT AS n_pairs, count(*) FILTER (len(ids) = 0) AS n_empty, min(line) FILTER (fault IS NOT NULL) AS first_line, arg_min(fault, line) FILTER (fault IS NOT NULL) AS first_fault, round(sum(len(ids)) / count(*), 6) AS avg_candidates FROM s"""
+
+
+def _register_quick(name: str, where: str) -> None:
+    query(name, _quick_sql(where))(lambda spark, d: E.quick_check(_faulty(spark, d).filter(where)))
+
+
+for _n, _w in (("quick_check", "true"), ("quick_check_prefix", "line > -3"), ("quick_check_repeated", "line > 0 AND line % 30 <> 0"), ("quick_check_targets", "line > 0 AND line % 30 <> 0 AND line % 42 <> 0 AND line % 66 <> 0 AND line % 78 <> 0 AND line % 90 <> 0"), ("quick_check_passes", "line > 0 AND line % 30 <> 0 AND line % 42 <> 0 AND line % 66 <> 0 AND line % 78 <> 0 AND line % 90 <> 0 AND line % 102 <> 0 AND line % 114 <> 0 AND line % 126 <> 0")):
+    _register_quick(_n, _w)
 
 
 @query("matched_not_in_candidates", f"{_ENT} SELECT DISTINCT {_AS_PAIR} FROM tru WHERE NOT EXISTS (SELECT 1 FROM ({_pairs_sql(B.R_MAIN, 'both')}) p WHERE p.s = tru.s AND p.x = tru.x)")
@@ -347,18 +396,20 @@ def matched_not_in_candidates(spark, d):
 
 def _bucket_sql(sigs: list[tuple[str, str]], cap: int) -> str:
     rows = " UNION ALL ".join(f"SELECT src, id, '{k}' AS kind, {s} AS sig FROM ent" for k, s in sigs)
-    return f"""{_ENT}, g AS (SELECT * FROM ({rows}) WHERE sig <> ''), h AS (SELECT kind, sig FROM g WHERE src = 2 GROUP BY ALL HAVING count(*) <= {cap})
- SELECT DISTINCT a.id AS source1_entity_id, b.id AS target_entity_id FROM g a JOIN g b ON a.kind = b.kind AND a.sig = b.sig JOIN h ON h.kind = b.kind AND h.sig = b.sig WHERE a.src = 1 AND b.src = 2"""
+    return f"""{_ENT}, g AS (SELECT * FROM ({rows}) WHERE sig <> ''), h AS (SELECT src, kind, sig FROM g WHERE src > 1 GROUP BY ALL HAVING count(*) <= {cap})
+ SELECT DISTINCT a.id AS source1_entity_id, b.id AS target_entity_id FROM g a JOIN g b ON a.kind = b.kind AND a.sig = b.sig JOIN h ON h.src = b.src AND h.kind = b.kind AND h.sig = b.sig WHERE a.src = 1"""
 
 
 @query("signature_buckets", _bucket_sql([(f"{k}{n}", f"{f}(name_compact, {n})") for n in Z.SIGNATURE_LENGTHS for k, f in (("p", "left"), ("s", "right"))], Z.SIGNATURE_CAP))
 def signature_buckets(spark, d):
-    return Z.signature_buckets(_ents(spark, d)).select(*E.PAIR)
+    e = _ents(spark, d)
+    return Z.signature_buckets(e, 2).unionByName(Z.signature_buckets(e, 3)).select(*E.PAIR)
 
 
 @query("prefix_buckets", _bucket_sql([(f"p{n}", f"CASE WHEN length(name_compact) >= {n} THEN left(name_compact, {n}) END") for n in Z.PREFIX_LENGTHS], Z.PREFIX_CAP))
 def prefix_buckets(spark, d):
-    return Z.prefix_buckets(_ents(spark, d)).select(*E.PAIR)
+    e = _ents(spark, d)
+    return Z.prefix_buckets(e, 2).unionByName(Z.prefix_buckets(e, 3)).select(*E.PAIR)
 
 
 @query("fuzzy_ratio_pairs")
@@ -380,6 +431,14 @@ def exact_and_fuzzy_pairs(spark, d):
     return B.pairs(e, B.R_HIGH).unionByName(fuzzy).distinct()
 
 
+@query("generator_pairs")
+def generator_pairs(spark, d):
+    """The six exact rules without caps, and the pairs of signature buckets for both targets."""
+    e = _ents(spark, d)
+    fuzzy = Z.signature_pairs(e, 2).unionByName(Z.signature_pairs(e, 3)).select(*E.PAIR)
+    return B.pairs(e, B.R_STREAM, "none").unionByName(fuzzy).distinct()
+
+
 _SIM_PAIRS = f"SELECT s, x FROM ({_pairs_sql([B.rule('prefix6_country', 6, 15)], 'both')})"
 
 
@@ -393,25 +452,46 @@ def pair_similarities(spark, d):
     return p.select(*E.PAIR, F.levenshtein("a", "b").cast("long").alias("edit_distance"), F.round(S.jaro_winkler("a", "b"), 6).alias("jaro_winkler"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("tfidf_top20", f"""{_ENT}, g AS (SELECT src, id, unnest(list_concat(list_transform(range(1, greatest(length(name_norm) - 1, 1)::BIGINT), lambda i: substr(name_norm, i, 3)), list_transform(range(1, greatest(length(name_norm) - 2, 1)::BIGINT), lambda i: substr(name_norm, i, 4)), list_transform(range(1, greatest(length(name_norm) - 3, 1)::BIGINT), lambda i: substr(name_norm, i, 5)))) AS gram FROM ent WHERE name_norm <> ''),
+_TFIDF = f"""{_ENT}, g AS (SELECT src, id, unnest(list_concat(list_transform(range(1, greatest(length(name_norm) - 1, 1)::BIGINT), lambda i: substr(name_norm, i, 3)), list_transform(range(1, greatest(length(name_norm) - 2, 1)::BIGINT), lambda i: substr(name_norm, i, 4)), list_transform(range(1, greatest(length(name_norm) - 3, 1)::BIGINT), lambda i: substr(name_norm, i, 5)))) AS gram FROM ent WHERE name_norm <> ''),
  f AS (SELECT src, id, gram, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM ent WHERE src > 1 AND name_norm <> ''), v AS (SELECT gram, ln((1 + n.n) / (1 + count(*))) + 1 AS idf FROM f, n WHERE src > 1 GROUP BY gram, n.n HAVING count(*) >= 2),
  w0 AS (SELECT src, id, gram, (1 + ln(tf)) * idf AS w FROM f JOIN v USING (gram)), w AS (SELECT src, id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w0),
  c AS (SELECT a.id AS s, b.id AS x, round(sum(a.w * b.w), 6) AS sim FROM w a JOIN w b ON a.gram = b.gram WHERE a.src = 1 AND b.src > 1 GROUP BY ALL),
- r AS (SELECT s, x, sim, row_number() OVER (PARTITION BY s ORDER BY sim DESC, x) AS rank FROM c) SELECT s AS source1_entity_id, x AS target_entity_id, rank::INT AS rank, sim AS similarity FROM r WHERE rank <= 20""")
+ r AS (SELECT s, x, sim, row_number() OVER (PARTITION BY s ORDER BY sim DESC, x) AS rank FROM c)"""
+
+
+@query("tfidf_top20", f"{_TFIDF} SELECT s AS source1_entity_id, x AS target_entity_id, rank::INT AS rank, sim AS similarity FROM r WHERE rank <= 20 AND sim > 0")
 def tfidf_top20(spark, d):
     e = _ents(spark, d).filter("name_norm <> ''").select("src", F.col("entity_id").alias("id"), F.col("name_norm").alias("name"))
     return Z.tfidf_top(e.filter("src = 1"), e.filter("src > 1"))
 
 
-@query("sampled_recall", f"""{_ENT}, m AS (SELECT id FROM ent WHERE src = 1 ORDER BY md5(id || '42'), id LIMIT 100), p AS ({_pairs_sql(B.R_BENCH, 'none')}), t AS (SELECT DISTINCT * FROM tru WHERE s IN (SELECT id FROM m))
- SELECT (SELECT count(*) FROM p WHERE s IN (SELECT id FROM m)) AS candidate_pairs, (SELECT count(*) FROM t) AS true_pairs, (SELECT count(*) FROM t JOIN p ON t.s = p.s AND t.x = p.x) AS found_pairs""")
+#: fixed value: rows of source 1 that recall is measured on
+SAMPLE_ROWS = 100_000
+_SAMPLE = f"m AS (SELECT id FROM ent WHERE src = 1 ORDER BY md5(id || '42'), id LIMIT {SAMPLE_ROWS}), t AS (SELECT DISTINCT * FROM tru WHERE s IN (SELECT id FROM m))"
+_RECALL = "SELECT (SELECT count(*) FROM p WHERE s IN (SELECT id FROM m)) AS candidate_pairs, (SELECT count(*) FROM t) AS true_pairs, (SELECT count(*) FROM t JOIN p ON t.s = p.s AND t.x = p.x) AS found_pairs"
+
+
+def _sample(ents: DataFrame) -> DataFrame:
+    return Z.sample_entities(ents.filter("src = 1"), SAMPLE_ROWS).select(F.col("entity_id").alias("source1_entity_id"))
+
+
+@query("sampled_recall", f"{_ENT}, {_SAMPLE}, p AS ({_pairs_sql(B.R_BENCH, 'none')}) {_RECALL}")
 def sampled_recall(spark, d):
     e = _ents(spark, d)
-    m = Z.sample_entities(e.filter("src = 1"), 100).select(F.col("entity_id").alias("source1_entity_id"))
+    m = _sample(e)
     p, t = (x.join(m, "source1_entity_id", "left_semi") for x in (B.pairs(e, B.R_BENCH, "none"), _truth(e)))
     return E.recall(p, t, m).select("candidate_pairs", "true_pairs", "found_pairs")
 
 
+@query("tfidf_recall", f"{_TFIDF}, {_SAMPLE}, p AS (SELECT s, x FROM r WHERE rank <= 20 AND sim > 0) {_RECALL}")
+def tfidf_recall(spark, d):
+    e = _ents(spark, d)
+    m = _sample(e)
+    names = e.filter("name_norm <> ''").select("src", F.col("entity_id").alias("id"), F.col("name_norm").alias("name"))
+    asked = names.filter("src = 1").join(m.withColumnRenamed("source1_entity_id", "id"), "id", "left_semi")
+    return E.recall(Z.tfidf_top(asked, names.filter("src > 1")), _truth(e).join(m, "source1_entity_id", "left_semi"), m).select("candidate_pairs", "true_pairs", "found_pairs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -34,8 +34,18 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, vi
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines: a CSV reader would hide quoted empty fields."""
-    return spark.read.text(path)
+    """Raw lines below each file's first, as they are: a CSV reader would hide quoted empty fields. value, line (in order
+    inside a file), head (the file's first line)."""
+    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    rows = spark.read.text(path).select("value", *where, F.monotonically_increasing_id().alias("line"))
+    heads = rows.filter("start = 0").groupBy("file").agg(F.min("line").alias("first"), F.min_by("value", "line").alias("head"))  # one row a file
+    return rows.join(heads, "file").filter("line <> first").select("value", "line", "head")
+
+
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """head: the first line of each file that has any."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return rows.filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:
@@ -49,12 +59,12 @@ def with_keys(df: DataFrame, normal=T.normalize) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str, normal=T.normalize) -> DataFrame:
-    """documents as business records of three sources: src, entity_id, the raw fields, and their keys."""
+    """documents as business records of three sources: src, entity_id, the raw fields (first line, last line, language), and their keys."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     src = (F.col("doc_id") % 3 + 1).cast("int")
     t = F.trim("text")
     raw = d.select(
         src.alias("src"), F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("entity_id"),
-        F.left(F.split_part(t, F.lit("\n"), F.lit(1)), F.lit(64)).alias("business_name"), F.right(t, F.lit(64)).alias("business_address"), F.col("lang").alias("country"), F.col("text").alias("_text"),
+        F.split_part(t, F.lit("\n"), F.lit(1)).alias("business_name"), F.split_part(t, F.lit("\n"), F.lit(-1)).alias("business_address"), F.col("lang").alias("country"), F.col("text").alias("_text"),
     )
     return with_keys(raw, normal)

@@ -1,5 +1,6 @@
 """Hand fixtures for keys, caps, metrics, similarities and the validator."""
 
+import math
 import random
 
 import pytest
@@ -106,6 +107,109 @@ def test_similarities():
     assert S.best_window_ratio("", "a") == 0.0
 
 
+def every_window(a, b):
+    """Best ratio over all windows, one by one."""
+    s, t = (a, b) if len(a) <= len(b) else (b, a)
+    n = len(s)
+    best = 0.0
+    for x, y in ((s, t), (t, s))[: 2 if len(a) == len(b) else 1]:
+        for i in range(1 - n, len(y)):
+            w = y[max(0, i) : min(len(y), i + n)]
+            best = max(best, 200.0 * dp(x, w) / (n + len(w)))
+    return best
+
+
+def test_window_ratio_against_every_window():
+    rnd = random.Random(2)
+    for _ in range(300):
+        letters = rnd.choice(("ab", "abcdefgh"))
+        a, b = ("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 25))) for _ in range(2))
+        want = every_window(a, b)
+        assert abs(S.best_window_ratio(a, b) - want) < 1e-9
+        least = S.best_window_ratio(a, b, 65.0)
+        assert least < 65 and want < 65 or abs(least - want) < 1e-9
+        assert S.indel_ratio(a, b, 70.0) == S.indel_ratio(a, b) or S.indel_ratio(a, b) < 70
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(20_000))
+    assert S.best_window_ratio(long[5000:15_000], long, 65.0) == 100.0
+
+
+def slow_jaro_winkler(a, b):
+    if a == b or not a or not b:
+        return float(a == b)
+    reach, used, mine = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, ch in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == ch), None)
+        if j is not None:
+            used.add(j)
+            mine.append(ch)
+    if not mine:
+        return 0.0
+    m, swaps = len(mine), sum(x != b[j] for x, j in zip(mine, sorted(used))) // 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return jaro + min(4, start) * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def test_jaro_winkler_against_the_plain_form():
+    rnd = random.Random(3)
+    for _ in range(500):
+        a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 14))) for _ in range(2))
+        assert abs(S.jaro_winkler_of(a, b) - slow_jaro_winkler(a, b)) < 1e-12
+
+
+def test_fuzzy_pairs_against_brute_force(spark):
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice("abc") for _ in range(rnd.randint(3, 9))) for _ in range(60)]
+    e = ents(spark, [(1 + i % 3, f"S{1 + i % 3}-{i}", n, "x", "US") for i, n in enumerate(names)])
+    left = [(f"S1-{i}", n) for i, n in enumerate(names) if i % 3 == 0]
+    for t in (2, 3):
+        right = [(f"S{t}-{i}", n) for i, n in enumerate(names) if i % 3 == t - 1]
+        for made, cut, cap, score, ratio in (
+            (Z.signature_pairs(e, t, 6), lambda n: {(k, x) for k in (3, 4, 5) for x in (("p", n[:k]), ("s", n[-k:]))}, 6, 70.0, lambda a, b: 200.0 * dp(a, b) / (len(a) + len(b))),
+            (Z.prefix_pairs(e, t, 6), lambda n: {(k, n[:k]) for k in (4, 5, 6) if len(n) >= k}, 6, 65.0, every_window),
+        ):
+            size = {}
+            for _, n in right:
+                for x in cut(n):
+                    size[x] = size.get(x, 0) + 1
+            ok = lambda n: {x for x in cut(n) if size.get(x, 0) in range(1, cap + 1)}  # noqa: E731, B023
+            want = {(a, b): ratio(n, m) for a, n in left for b, m in right if ok(n) & cut(m) and ratio(n, m) >= score}
+            out = {(r["source1_entity_id"], r["target_entity_id"]): r["score"] for r in made.collect()}
+            assert out.keys() == want.keys() and all(abs(out[k] - want[k]) < 1e-9 for k in out)
+
+
+def test_tfidf_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(f"{i:02d}", n) for i, n in enumerate(names)], "id string, name string")
+    grams = lambda n, k: [n[i : i + z] for z in (3, 4, 5) for i in range(len(n) - z + 1) if k is None or n[i : i + z] in k]
+    target = names[20:]
+    df_of = {}
+    for n in target:
+        for g in set(grams(n, None)):
+            df_of[g] = df_of.get(g, 0) + 1
+    total = {g: sum(grams(n, None).count(g) for n in target) for g in df_of}
+    for most in (None, 15):
+        kept = sorted((g for g in df_of if df_of[g] >= 2), key=lambda g: (-total[g], g))[:most]
+        idf = {g: math.log((1 + len(target)) / (1 + df_of[g])) + 1 for g in kept}
+
+        def vector(n):
+            own = grams(n, idf)
+            w = {g: (1 + math.log(own.count(g))) * idf[g] for g in own}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            return {g: x / norm for g, x in w.items()}
+
+        want = {}
+        for i in range(20):
+            a = vector(names[i])
+            sims = sorted((-round(sum(x * vector(names[j]).get(g, 0) for g, x in a.items()), 6), f"{j:02d}") for j in range(20, 60))
+            want |= {(f"{i:02d}", t): -s for s, t in sims[:4] if s < 0}
+        for name, few in (("ASK_BLOCK", 6), ("ROW_BLOCK", 7), ("ASKED", 2)) if most else ():
+            monkeypatch.setattr(Z, name, few)
+        out = {(r["source1_entity_id"], r["target_entity_id"]): r["similarity"] for r in Z.tfidf_top(df.filter("id < '20'"), df.filter("id >= '20'"), 4, max_features=most).collect()}
+        assert out.keys() == want.keys() and all(abs(out[k] - want[k]) < 2e-6 for k in out)
+
+
 def test_nested_prefix_buckets(spark):
     rows = [(1, "S1-0", "abcdef", "x", "US"), (2, "S2-0", "abcdeg", "x", "US"), *[(2, f"S2-{i}", f"abcdz{i}", "x", "US") for i in range(1, 4)]]
     e = ents(spark, rows)
@@ -131,6 +235,83 @@ def test_export_passes_the_validator_and_faults_are_found(spark, tmp_path):
     assert "missing_or_empty" in E.validate_file(spark, str(tmp_path / "none"), "candidate_entity_ids", ids)["errors"]
 
 
+def test_validator_on_odd_lines(spark, tmp_path):
+    ids = spark.createDataFrame([("S1-1",)], "source1_entity_id string")
+    head = "source1_entity_id\tcandidate_entity_ids\n"
+    path = tmp_path / "x.tsv"
+    for body, want in (
+        ("S1-1\tS2-1,\n", {"bad_prefix"}), ("S1-1\tS2-1,,S3-1\n", {"bad_prefix"}), ("S1-1\t\n\t\n", {"unexpected_s1"}), (f"S1-1\t\n{head}", {"unexpected_s1", "bad_prefix"}), ("S1-1\tS2-1,,\n", {"bad_prefix", "repeated_id"}),
+        ("S1-1\t  \n   \n\n", set()), ("S1-1\tS2-\ufffd\n", set()), ("S1-1\tS2-1\tx\n", set()), ("S1-1\t S2-1\n", {"bad_prefix"}),
+    ):
+        path.write_text(head + body, encoding="utf-8")
+        out = E.validate_file(spark, str(path), "candidate_entity_ids", ids)
+        assert set(out["errors"]) == want and out["passed"] == (not want), body
+    path.write_bytes((head + "S1-1\tS2-").encode() + b"\xff\n")
+    assert set(E.validate_file(spark, str(path), "candidate_entity_ids", ids)["errors"]) == {"not_utf8"}
+    path.write_text("Source1_Entity_ID\t candidate_entity_ids \nS1-1\t\n")
+    assert E.validate_file(spark, str(path), "candidate_entity_ids", ids)["passed"]
+    many = tmp_path / "many"
+    rows = spark.createDataFrame([(f"S1-{i}", "S2-1") for i in range(40)], "source1_entity_id string, candidate_entity_ids string")
+    sinks.write_tsv(rows.repartition(4), str(many))
+    assert E.validate_file(spark, str(many), "candidate_entity_ids", rows.select("source1_entity_id"))["passed"]
+
+
+def test_quick_check_stops_at_the_first_fault(spark):
+    good = "S1-1\tS2-1,S3-2"
+    for lines, want in (
+        ([good, "S1-2\t"], None), ([good, 'S1-2\t""'], None), ([good, ""], (1, "columns")), ([good, "S1-2"], (1, "columns")), ([good, "S1-2\tS2-1\t"], (1, "columns")),
+        ([good, "X\t", "x"], (1, "s1_prefix")), ([good, "S1-2\tS2-1,S2-1"], (1, "repeated_id")), ([good, "S1-2\tS2-1,"], (1, "target_prefix")), ([good, good], None),
+    ):
+        r = E.quick_check(spark.createDataFrame(list(zip(lines, range(len(lines)))), "value string, line long")).first()
+        assert (r["first_line"], r["first_fault"]) == (want or (None, None)) and r["n_rows"] == len(lines), lines
+
+
+def test_sources(spark, tmp_path):
+    text = "entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tA \"quoted\" name\t1, Main St\tUS\nS1-2\tNone\tnull\t\n"
+    (tmp_path / "a.tsv").write_text(text)
+    rows = readers.source_tsv(spark, str(tmp_path / "a.tsv")).collect()
+    assert [r["entity_id"] for r in rows] == ["S1-1", "S1-2"] and rows[0]["business_name"] == 'A "quoted" name' and rows[0]["business_address"] == "1, Main St"
+    nulls = readers.source_tsv(spark, str(tmp_path / "a.tsv"), null_words=True).collect()[1]
+    assert list(nulls) == ["S1-2", None, None, None]
+    (tmp_path / "bad.tsv").write_text(text + "S1-3\ttoo\tfew\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        readers.source_tsv(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-2\nS1-2\t\n")
+    assert got(E.truth_pairs(readers.truth_tsv(spark, str(tmp_path / "t.tsv")))) == [("S1-1", "S2-1"), ("S1-1", "S3-2")]
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "i int, n string")
+    for part in ("p1", "p2"):
+        sinks.write_parquet(df, str(tmp_path / part))
+    both = readers.parquet(spark, str(tmp_path / "p*"), ["i"], view="some_view")
+    assert both.columns == ["i"] and both.count() == 20 and spark.table("some_view").count() == 20
+    assert "ReadSchema: struct<i:int>" in both._jdf.queryExecution().executedPlan().toString()
+    assert readers.head(df, 3).count() == 3
+
+
+def test_sinks(spark, tmp_path):
+    a, b = (spark.createDataFrame([(x,)], "x int") for x in (1, 2))
+    path = str(tmp_path / "out")
+    sinks.write_parquet(a, path)
+    sinks.write_parquet(b, path, resume=True)
+    assert spark.read.parquet(path).first()[0] == 1
+    (tmp_path / "out" / "_SUCCESS").unlink()
+    sinks.write_parquet(b, path, resume=True)
+    assert spark.read.parquet(path).first()[0] == 2
+    assert sinks.keep_table(a, "kept").first()[0] == 1 and sinks.keep_table(b, "kept").first()[0] == 2
+    name = f"kept_{tmp_path.name}".replace("-", "_")
+    for df, want in ((a, 1), (b, 2)):
+        assert sinks.keep_table(df, name, temporary=False).first()[0] == want
+    assert spark.table(name).first()[0] == 2
+    keyed = spark.createDataFrame([(i, f"k{i % 7}") for i in range(50)], "i int, k string")
+    for n in ("left", "right"):
+        sinks.write_parquet(keyed, str(tmp_path / f"{n}_{name}"), bucket=(4, "k"))
+    met = spark.table(f"left_{name}").hint("merge").join(spark.table(f"right_{name}"), "k")
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == keyed.join(keyed, "k").count()
+    rows = spark.createDataFrame([("S2", "exact_name", 1234, 5, 3, 4, 0.75, 1.5), ("S3", "COMBINED", 0, 0, 0, 0, None, 0.0)], "target string, rule string, candidate_pairs long, s1_with_candidates long, true_matches_found long, true_matches_total long, recall double, avg_candidates double")
+    sinks.write_report(rows, str(tmp_path / "report"))
+    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert text.startswith("BLOCKING BENCHMARK\n" + "=" * 70) and "  candidate pairs: 1,234\n" in text and "  recall: 75.0000%\n" in text and "  recall: 0.0000%\n" in text
+
+
 def test_a_stream_makes_the_pairs_of_its_batches(spark, tmp_path):
     from linkspark.streaming.incremental import block_stream
 
@@ -141,6 +322,25 @@ def test_a_stream_makes_the_pairs_of_its_batches(spark, tmp_path):
     assert got(spark.read.parquet(str(tmp_path / "out"))) == [("S1-0", "S2-0")]
 
 
+def test_a_stream_repeats_no_pair_and_caps_each_target(spark, tmp_path):
+    from linkspark.streaming.incremental import block_stream
+
+    e = ents(spark, [(1, "S1-0", "acme", "x", "US"), (2, "S2-0", "acme", "y", "US"), (2, "S2-1", "acme", "y", "US"), (3, "S3-0", "acme", "y", "US"), (2, "S2-9", "acme", "y", "US")])
+    for batch in ("S2-0 S3-0", "S2-0 S2-1", "S2-9"):
+        e.filter(F.col("entity_id").isin(*batch.split())).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+        block_stream(stream, e.filter("src = 1"), [B.rule("exact_name", 1, 3)], str(tmp_path / "out"), str(tmp_path / "n"), str(tmp_path / "c")).awaitTermination()
+    assert got(spark.read.parquet(str(tmp_path / "out"))) == [("S1-0", "S2-0"), ("S1-0", "S2-1"), ("S1-0", "S3-0")]
+
+
+def test_queries_load_without_a_library_of_the_optional_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; assert 'candidate_export' in e.queries() and 'candidate_export' in e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
 def test_fuzzy_queries_search_both_targets(spark, tmp_path):
     from linkspark.plans import registry
 
