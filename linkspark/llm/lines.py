@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
-A run is a Parquet table of (h1, h2, n_docs, last_doc, seen) sorted by hash: for each line key of a batch,
-the number of its documents, the largest doc_id, and whether an older run held it. A new batch
-anti-joins the runs by sort-merge to find its new keys and is then added as a run of level 0; when a
-level has `fanout` runs they are compacted into one of the next level (counts add up, since a document
-is in one batch only). The whole table's answer reads what levels are left.
+A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by hash: for each line key that was new with a
+batch, the number of the batch's documents that hold it and the largest doc_id. A new batch merge-anti-joins
+the runs: what no run holds becomes a run of level 0, and the counts of keys that a run holds already
+are set apart as updates. So a key is in one run only, and its totals are its row there plus its updates, without
+grouping the runs. When a level has `fanout` runs they are compacted into one of the next level. Runs share
+their buckets, so neither the joins with them nor compaction shuffles a run.
 
 Skew: keys are counted with map-side partial aggregation, and the join that looks lines up meets one row
 a key, so a line in a third of all documents is only a large left side, which adaptive execution splits.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import WS_CHARS, ascii_lower, on_key, read, row_key, text_of, written
+from linkspark.llm.common import WS_CHARS, ascii_lower, new_path, on_key, read, row_key, small, text_of, written
 
 LEAST_CHARS, LEAST_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 
@@ -36,65 +37,77 @@ def long_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return lines.select("_d", "_th", "pos", F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))
 
 
+KEY = ["h1", "h2"]
+
+
 class LineRuns:
     """The runs of a growing corpus; `add` takes batches whose documents are in no other batch."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, []
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels, self.updates = spark, fanout, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch of long_lines; gives its run, in which new keys have seen = false."""
-        own = lines.groupBy("h1", "h2").agg(F.countDistinct(F.struct("_d")).alias("n_docs"), F.max("_d").alias("last_doc"))
-        old = self.runs()
-        if old:
-            known = old[0].select("h1", "h2")
-            for r in old[1:]:
-                known = known.unionByName(r.select("h1", "h2"))
-            known = known.hint("merge")
-            new = own.join(known, ["h1", "h2"], "left_anti").withColumn("seen", F.lit(False))
-            again = own.join(known, ["h1", "h2"], "left_semi").withColumn("seen", F.lit(True))
-            own = new.unionByName(again)
-        else:
-            own = own.withColumn("seen", F.lit(False))
-        run = self._sorted(own, "line-run")
-        self._put(run, 0)
-        return run
-
-    def _sorted(self, run: DataFrame, name: str) -> DataFrame:
-        return written(run.repartition("h1").sortWithinPartitions("h1", "h2"), name)
+        """Adds a batch of long_lines; gives the run of its new keys."""
+        own = lines.groupBy(*KEY).agg(F.countDistinct(F.struct("_d")).alias("n_docs"), F.max("_d").alias("last_doc"))
+        new = own = self._bucketed(own, "line-batch")
+        for i, r in enumerate(self.runs()):
+            new = new.join(r.select(*KEY).hint("merge"), KEY, "left_anti")
+            again = own.join(r.select(*KEY).hint("merge"), KEY, "left_semi")
+            held = held.unionByName(again) if i else again
+        if self.levels:
+            self.updates.append(written(held, "line-updates"))
+            new = self._bucketed(new, "line-run")
+        self._put(new, 0)
+        return new
+
+    def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table bucketed and sorted by key, a file a bucket."""
+        path = new_path(self.spark, name)
+        table = "linkspark_" + path.rsplit("/", 1)[1].replace("-", "_")
+        w = df.repartition(self.buckets, *KEY).write.option("compression", "zstd").option("path", path)
+        w.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(table)
+        return self.spark.table(table)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self.merged(self.levels[level]), []
-            self._put(self._sorted(merged, f"line-level{level + 1}"), level + 1)
-
-    @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for r in runs[1:]:
-            every = every.unionByName(r)
-        return every.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.min("seen").alias("seen"))
+            first, *rest = self.levels[level]
+            self.levels[level] = []
+            for r in rest:  # no key is in two runs, so a full merge join puts them one into the other
+                r = r.withColumnsRenamed({"n_docs": "n", "last_doc": "l"})
+                first = first.hint("merge").join(r, KEY, "full").select(*KEY, F.coalesce("n_docs", "n").alias("n_docs"), F.coalesce("last_doc", "l").alias("last_doc"))
+            self._put(self._bucketed(first, f"line-level{level + 1}"), level + 1)
 
     def totals(self) -> DataFrame:
-        runs = self.runs()
-        return runs[0] if len(runs) == 1 else self.merged(runs)
+        """Each key once, with the number of its documents and the largest doc_id."""
+        first, *rest = self.runs()
+        for r in rest:
+            first = first.unionByName(r)
+        if not self.updates:
+            return first
+        more = self.updates[0]
+        for u in self.updates[1:]:
+            more = more.unionByName(u)
+        more = more.groupBy(*KEY).agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("l"))
+        return first.join(more, KEY, "left").select(*KEY, (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "l").alias("last_doc"))
 
 
 def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with n_lines, n_dropped and kept (the text left), under the struct column _row and those names."""
     lines = written(long_lines(docs, least_chars).withColumn("batch", F.pmod(F.xxhash64("_d"), F.lit(batches)).cast("int")), "lines", "batch")
-    runs = LineRuns(fanout)
+    runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b).drop("batch"))
-    common = runs.totals().filter(F.col("n_docs") >= least_docs).select("h1", "h2", "last_doc")
+    # written, so that the join below has plain shuffles on both sides, whose skew adaptive execution can split
+    common = written(runs.totals().filter(F.col("n_docs") >= least_docs).select(*KEY, "last_doc"), "common-lines")
     dropped = (
-        lines.join(common, ["h1", "h2"]).filter(~F.col("_d").eqNullSafe(F.col("last_doc")))
+        lines.join(small(common), KEY).filter(~F.col("_d").eqNullSafe(F.col("last_doc")))
         .groupBy("_d", "_th").agg(F.collect_set("pos").alias("_drop"))
     )
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(docs))
