@@ -311,7 +311,7 @@ def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered strings (doc, start) as merged intervals, by partition."""
+    """Covered strings (doc, start) as merged intervals; those of a document are in one partition."""
     held, n = [], 0
     for batch in it:
         if batch.num_rows:
@@ -415,7 +415,7 @@ def repeats(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
         each = written(hot.select("h", "doc", "pos", "bytes").mapInArrow(spread, "h bigint, s bigint, doc bigint, start bigint"), "hot-strings")
         first = each.groupBy("h", "s").agg(F.min(F.struct("doc", "start")).alias("f"))
         again = each.join(first, ["h", "s"]).filter((F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start")))
-        spans = spans.unionByName(again.select("doc", "start").mapInArrow(joined, TYPES))
+        spans = spans.unionByName(again.select("doc", "start").repartition("doc").mapInArrow(joined, TYPES))
     spans = spans.unionByName(found.filter(F.col("kind") == COVERED))
     return written(spans.select("doc", F.col("pos").alias("lo"), F.col("end").alias("hi")), "spans")
 
