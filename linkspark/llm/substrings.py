@@ -363,10 +363,13 @@ class SuffixIndex:
         dealt = rows.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("salt", "h", "ctx", "doc", "pos")
         out = dealt.mapInArrow(scan, TYPES)
         path = new_path(self.spark, "suffix-scan")
-        out = written(out.filter(F.col("kind") != LEVEL) if last else out, "", "kind", path)
-        self.found.append(out.filter(F.col("kind") != LEVEL))
-        if not last:
-            self.levels.append((0, out.filter(F.col("kind") == LEVEL), f"{path}/kind={LEVEL}"))
+        if last:
+            self.found.append(written(out.filter(F.col("kind") != LEVEL), "", path=path))
+            return
+        # a folder for what is found and one for the level, as each kind of its own would make many small files
+        out = written(out.withColumn("level", F.col("kind") == LEVEL), "", "level", path)
+        self.found.append(out.filter(~F.col("level")).drop("level"))
+        self.levels.append((0, out.filter("level").drop("level"), f"{path}/level=true"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
