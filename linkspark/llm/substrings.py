@@ -178,7 +178,7 @@ def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge scan of a batch (kind ENTRY) with the levels (kind LEVEL), rows sorted by salt, h, ctx, doc, pos."""
+    """Merge scan of a batch (kind ENTRY) with the levels (kind LEVEL), rows sorted by h, salt, ctx, doc, pos."""
 
     def done(kind, h, ctx, doc, pos, end, salt) -> Iterator[pa.RecordBatch]:
         past = kind == COVERED
@@ -342,7 +342,7 @@ class SuffixIndex:
         """last: no batch will follow, so no level is written and all are removed."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a, old_a), (_, b, old_b) = self.levels.pop(), self.levels.pop()
-            both = a.unionByName(b).repartition("h", "salt").sortWithinPartitions("salt", "h", "ctx", "doc", "pos")
+            both = a.unionByName(b).repartition("h", "salt").sortWithinPartitions("h", "salt", "ctx", "doc", "pos")
             path = new_path(self.spark, f"suffix-level{size + 1}")
             self.levels.append((size + 1, written(both, "", path=path), path))
             for old in (old_a, old_b):
@@ -360,7 +360,7 @@ class SuffixIndex:
             rows = rows.unionByName(level)
         # what a partition found by itself passes through the scan, dealt by document
         salt = F.when(F.col("kind") == COVERED, F.pmod("doc", F.lit(100)).cast("byte")).otherwise(F.col("salt"))
-        dealt = rows.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("salt", "h", "ctx", "doc", "pos")
+        dealt = rows.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt", "ctx", "doc", "pos")
         out = dealt.mapInArrow(scan, TYPES)
         path = new_path(self.spark, "suffix-scan")
         if last:
