@@ -65,9 +65,11 @@ LEAST_UNIT = 32
 
 
 def _classes() -> np.ndarray:
-    """Symbol of each byte: letters without case 0-25, marks of the base rules 26, digit 27, white space 28, sentence marks 29, others 30, >= 0x80 31."""
+    """Symbol of each byte: letters without case 0-25, marks of the base rules 26, digit 27, white space 28, sentence marks 29, others 30, first bytes
+    of longer characters 31. Their further bytes are dealt to 0-25 by value: after a 31 they are no letters, and so differ by character."""
     of = np.full(256, 30, np.uint8)
-    of[128:] = 31
+    of[0xC0:] = 31
+    of[0x80:0xC0] = np.arange(64) % 26
     of[ord("a") : ord("z") + 1] = of[ord("A") : ord("Z") + 1] = np.arange(26)
     of[[ord(c) for c in "#*$%&|<>"]] = 26
     of[ord("0") : ord("9") + 1] = 27

@@ -475,6 +475,16 @@ def test_rules_reject_gibberish_and_keep_the_rest(spark):
     assert rules.verdicts(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("first, letters", [(0x430, 32), (0x4E00, 2000)])
+def test_rules_tell_letters_of_other_scripts_apart(spark, first, letters):
+    rnd = random.Random(11)
+    word = lambda: "".join(chr(first + rnd.randrange(letters)) for _ in range(5))
+    own = [word() for _ in range(50)]
+    t = [" ".join(rnd.choices(own, k=80)) for _ in range(60)] + [" ".join(word() for _ in range(80))]
+    out = {r["_d"]: r for r in rules.verdicts(docs(spark, t)).collect()}
+    assert all(out[i]["kept"] for i in range(60)) and not out[60]["kept"] and not out[60]["base_failed"]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 8)).astype(np.float32)
