@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import WS_CHARS, ascii_lower, new_path, on_key, read, row_key, small, text_of, written
+from linkspark.llm.common import WS_CHARS, ascii_lower, bucketed, on_key, read, row_key, small, text_of, written
 
 LEAST_CHARS, LEAST_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 
@@ -65,12 +65,7 @@ class LineRuns:
         return new
 
     def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a table bucketed and sorted by key, a file a bucket."""
-        path = new_path(self.spark, name)
-        table = "linkspark_" + path.rsplit("/", 1)[1].replace("-", "_")
-        w = df.repartition(self.buckets, *KEY).write.option("compression", "zstd").option("path", path)
-        w.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(table)
-        return self.spark.table(table)
+        return bucketed(df, name, self.buckets, *KEY)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import on_key, prepare, read, row_key, text_of, written
+from linkspark.llm.common import bucketed, on_key, prepare, read, row_key, text_of, written
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Orders up to LOW have a bound and one group a language makes them; the two above, up to ORDER, are found in their shards.
@@ -58,7 +58,7 @@ BLOCK, MERGED = 1024, 1 << 20
 UNIT_BITS = 48
 #: A task with many languages holds so many chunks' worth of texts, then gives out its largest chunk before it is full.
 MOST_HELD = 16
-#: Symbols are written once and dealt twice, so they are worth a slow level of compression.
+#: Symbols are written once and dealt once, so they are worth a slow level of compression.
 LEVEL = 12
 #: A run of so many symbols up to a sentence mark is counted once, however many texts repeat it.
 LEAST_UNIT = 32
@@ -567,7 +567,8 @@ def train(totals: DataFrame) -> DataFrame:
 
 def scores(docs: DataFrame, langs: dict[str, int], least: int = CHUNK) -> DataFrame:
     """_d, _th, the base counts, the model's number and the mean negative log probability nll of each row."""
-    parts = written(chunks(docs, langs, least), "symbols")
+    # dealt by chunk once: both passes over the texts then find them in place
+    parts = bucketed(chunks(docs, langs, least), "symbols", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     size = parts.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES)))
     blocks = max(1, math.ceil(size / least / BLOCK))
