@@ -51,7 +51,7 @@ SIZE = SYMBOLS**LOW
 SPACE, MARK = 28, 29
 PAD = bytes([SPACE]) * (ORDER - 1)
 #: Texts gathered in a chunk, and bytes of text for one shard of the n-grams.
-CHUNK, SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 32 << 20, 12, 1024
+CHUNK, SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 2 << 20, 32 << 20, 12, 1024
 #: Chunks whose lists of a shard meet in one task, and n-grams that it holds before it merges them.
 BLOCK, MERGED = 1024, 1 << 20
 #: Bits of a long unit's hash within its shard, and of the symbols before it.
