@@ -349,3 +349,25 @@ def test_fuzzy_queries_search_both_targets(spark, tmp_path):
     for name in ("fuzzy_ratio_pairs", "fuzzy_partial_pairs"):
         out = registry.queries()[name](spark, str(tmp_path)).select("source1_entity_id", "target_entity_id").collect()
         assert sorted(map(tuple, out)) == [("S1-00000000", "S2-00000001"), ("S1-00000000", "S3-00000002")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def _repeated(spark):
+    """Frequent keys, repeated ids with other names, nulls and ids that hold many keys."""
+    words = ["a b", "ab", "b a", "a", "", None, "c"]
+    rows = [(i % 3 + 1, f"S{i % 3 + 1}-{i // 3 % 17}", words[i * 5 % 7], words[i * 3 % 5], "en" if i % 4 else None) for i in range(120)]
+    return ents(spark, rows)
+
+
+@pytest.mark.parametrize("rules", [[B.rule("exact_address")], [B.rule("compact_address")], B.R_BENCH, B.R_NEXT, B.R_STREAM, [B.rule("first_word_country", 1), B.rule("name_tokens", 2)]])
+def test_pairs_without_caps_are_made_once_and_not_shuffled(spark, monkeypatch, rules):
+    monkeypatch.setattr(B, "CHUNK", 2)
+    e = _repeated(spark)
+    plain = B.rule_pairs(e, rules, "none").select("source1_entity_id", "target_entity_id").distinct()
+    out = B.pairs(e, rules, "none")
+    assert got(out) == got(plain) != []
+    assert "Exchange hashpartitioning(source1_entity_id" in _plan(plain)
+    assert "Exchange hashpartitioning(source1_entity_id" not in _plan(out)
