@@ -371,3 +371,44 @@ def test_pairs_without_caps_are_made_once_and_not_shuffled(spark, monkeypatch, r
     assert got(out) == got(plain) != []
     assert "Exchange hashpartitioning(source1_entity_id" in _plan(plain)
     assert "Exchange hashpartitioning(source1_entity_id" not in _plan(out)
+
+
+def _with_text(e):
+    return e.withColumn("_text", F.concat_ws("\n", "business_name", "business_address"))
+
+
+def test_pairs_that_share_several_keys_are_not_made_apart(spark, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 2)
+    e = _repeated(spark)
+    name, address, words = (B.rule_pairs(e, [B.rule(n)], "none").select(*E.PAIR).distinct() for n in ("exact_name", "exact_address", "name_tokens"))
+    both = B.sharing(e, [[B.rule("exact_name"), B.rule("exact_address")]])
+    assert got(both) == got(name.intersect(address)) != got(name)
+    some = B.sharing(e, [[B.rule("exact_name"), B.rule("exact_address")], [B.rule("name_tokens"), B.rule("exact_address")]])
+    assert got(some) == got(E.covered(address, name, words).distinct())
+    assert "Exchange hashpartitioning(source1_entity_id" not in _plan(both)
+
+
+@pytest.mark.parametrize("name", ["covered_exists", "pair_intersection"])
+def test_queries_on_several_keys_shuffle_no_pair(spark, name):
+    from linkspark.plans import registry
+
+    assert "Exchange hashpartitioning(source1_entity_id" not in _plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("rules", [B.R_BENCH, B.R_NEXT, [B.rule("exact_name"), B.rule("name_tokens", 2), B.rule("first_word_country", 1)]])
+def test_counts_of_pairs_without_pairs(spark, rules):
+    words = ["a b", "ab", "b a", "a", "", None, "c"]
+    e = _with_text(ents(spark, [(i % 3 + 1, f"S{i % 3 + 1}-{i // 3 % 30}", words[i * 5 % 7], words[i * 3 % 5], "en" if i % 4 else None) for i in range(150)]))
+    text = B.Rule("text", lambda: T.compact(T.normalize(F.col("_text"))))
+    s1 = e.filter("src = 1").select(F.col("entity_id").alias("source1_entity_id"))
+    plain = E.rule_benchmark(B.rule_pairs(e, rules, "none"), B.rule_pairs(e, [text], "none").select(*E.PAIR), s1)
+    out = E.benchmark_rates(*B.shared_counts(e, rules, text), s1)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect())) != []
+    assert out.columns == plain.columns
+
+
+@pytest.mark.parametrize("name", ["rule_benchmark", "benchmark_report"])
+def test_the_benchmark_makes_no_pairs(spark, name):
+    from linkspark.plans import registry
+
+    assert "target_entity_id" not in _plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
