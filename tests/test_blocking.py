@@ -412,3 +412,19 @@ def test_the_benchmark_makes_no_pairs(spark, name):
     from linkspark.plans import registry
 
     assert "target_entity_id" not in _plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("share", [-1.0, 0.05, 2.0])
+def test_tfidf_deals_names_and_sums_frequent_and_rare_grams(spark, monkeypatch, share):
+    rnd = random.Random(7)
+    names = ["".join(rnd.choice("abcd é") for _ in range(rnd.randint(1, 14))) for _ in range(50)] + [None, "", "ab"]
+    df = spark.createDataFrame([(f"{i:02d}", n) for i, n in enumerate(names)], "id string, name string")
+    out = []
+    for s, few in ((0.007, 100), (share, 9)):
+        for name, x in (("DENSE_SHARE", s), ("ASK_BLOCK", few), ("ROW_BLOCK", few), ("ASKED", 2)):
+            monkeypatch.setattr(Z, name, x)
+        top = Z.tfidf_top(df, df, 3)
+        assert "collect_list" not in _plan(top)
+        out.append({(r[0], r[1]): (r["rank"], r["similarity"]) for r in top.collect()})
+    assert out[0].keys() == out[1].keys() and all(abs(out[0][x][1] - out[1][x][1]) < 2e-6 for x in out[0])
+    assert sum(s == t and abs(x[1] - 1) < 1e-9 for (s, t), x in out[0].items()) > 30
