@@ -428,3 +428,24 @@ def test_tfidf_deals_names_and_sums_frequent_and_rare_grams(spark, monkeypatch,
         out.append({(r[0], r[1]): (r["rank"], r["similarity"]) for r in top.collect()})
     assert out[0].keys() == out[1].keys() and all(abs(out[0][x][1] - out[1][x][1]) < 2e-6 for x in out[0])
     assert sum(s == t and abs(x[1] - 1) < 1e-9 for (s, t), x in out[0].items()) > 30
+
+
+def test_further_pairs_come_beside_those_without_caps(spark):
+    e = _repeated(spark)
+    ids = lambda s, c: e.filter(s).select(F.col("entity_id").alias(c)).distinct()
+    more = ids("src = 1", "source1_entity_id").crossJoin(ids("src > 1", "target_entity_id")).filter("right(target_entity_id, 1) < '6'")
+    exact = B.pairs(e, [B.rule("exact_name")], "none")
+    assert got(B.with_more(e, [B.rule("exact_name")], more.union(more))) == got(exact.union(more).distinct()) != got(more)
+
+
+def test_generator_pairs_shuffle_no_pair_of_exact_rules(spark):
+    from linkspark.plans import registry
+
+    plan = _plan(registry.queries()["generator_pairs"](spark, "/root/testdata/sf0.001"))
+    union = next(i for i, x in enumerate(plan.splitlines()) if "Union" in x)
+    assert "Exchange" not in "".join(plan.splitlines()[:union])
+
+
+def test_long_keys_are_not_shuffled(spark):
+    plan = _plan(B.rule_pairs(_repeated(spark), B.R_HIGH))
+    assert "md5" in plan and S.indel_ratio("x" * 20, "x" * 20, 70.0) == 100.0
