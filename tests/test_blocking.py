@@ -449,3 +449,12 @@ def test_generator_pairs_shuffle_no_pair_of_exact_rules(spark):
 def test_long_keys_are_not_shuffled(spark):
     plan = _plan(B.rule_pairs(_repeated(spark), B.R_HIGH))
     assert "md5" in plan and S.indel_ratio("x" * 20, "x" * 20, 70.0) == 100.0
+
+
+def test_tfidf_recall_asks_all_of_source_1(spark, tmp_path, monkeypatch):
+    from linkspark.plans import registry
+
+    monkeypatch.setattr(registry, "SAMPLE_ROWS", 1)
+    spark.createDataFrame([(i, f"name {i // 3} {i // 3}", "en") for i in range(9)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.queries()["tfidf_recall"](spark, str(tmp_path)).select("true_pairs", "found_pairs").first() == (6, 6)
+    assert "LIMIT" not in registry.oracle_sql()["tfidf_recall"]
