@@ -458,3 +458,22 @@ def test_tfidf_recall_asks_all_of_source_1(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"name {i // 3} {i // 3}", "en") for i in range(9)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert registry.queries()["tfidf_recall"](spark, str(tmp_path)).select("true_pairs", "found_pairs").first() == (6, 6)
     assert "LIMIT" not in registry.oracle_sql()["tfidf_recall"]
+
+
+def test_tfidf_multiplies_equal_names_once(spark, monkeypatch):
+    """Ids of equal names are made from one vector each; ties go on by id across names, and kinds change no result."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abc") for _ in range(4)) for _ in range(7)] + ["abcd xyz", "xyz abcd"]
+    rows = [(f"{i:03d}", words[i * i % 9], "xy"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, name string, kind string")
+    top = Z.tfidf_top(df, df, 12)
+    assert "md5" in _plan(top)
+    out = sorted(map(tuple, top.collect()))
+    monkeypatch.setattr(Z, "PIECE", 2)
+    monkeypatch.setattr(Z, "TEXTS", 3)
+    again = sorted(map(tuple, Z.tfidf_top(df.drop("kind"), df.drop("kind"), 12).collect()))
+    assert [(x[0], x[1], x[3]) for x in out] == [(x[0], x[1], x[3]) for x in again]
+    name = {i: n for i, n, _ in rows}
+    for i, n, _ in rows:
+        same = [x for x in sorted(name) if name[x] == n][:12]
+        assert [x[1] for x in out if x[0] == i and x[3] == 1] == same[:1] and {x[1] for x in out if x[0] == i and abs(x[2] - 1) < 1e-9} >= set(same)
