@@ -477,3 +477,23 @@ def test_tfidf_multiplies_equal_names_once(spark, monkeypatch):
     for i, n, _ in rows:
         same = [x for x in sorted(name) if name[x] == n][:12]
         assert [x[1] for x in out if x[0] == i and x[3] == 1] == same[:1] and {x[1] for x in out if x[0] == i and abs(x[2] - 1) < 1e-9} >= set(same)
+
+
+def test_windows_of_many_pairs_are_scored_together():
+    rnd = random.Random(11)
+    word = lambda most, signs: "".join(rnd.choice(signs) for _ in range(rnd.randint(0, most)))
+    for most, signs in ((8, "ab"), (40, "abcdefé"), (90, "ab")):
+        a, b = ([word(most, signs) for _ in range(200)] for _ in range(2))
+        b[:40] = [x[:3] + "z" + x[4:] for x in a[:40]]
+        for least in (0.0, 65.0):
+            for x, y in zip(S.best_window_ratios(a, b, least), map(S.best_window_ratio, a, b)):
+                assert abs(x - y) < 1e-9 if y >= least else x < least
+
+
+def test_names_of_prefix_pairs_are_scored_once(spark):
+    names = ["acme widgets", "acme widgetz", "acme", "acmq widgets", "acm", None]
+    e = ents(spark, [(1 + i % 3, f"S{1 + i % 3}-{i}", names[i * 7 % 6 if i % 4 else 0], "x", "US") for i in range(48)])
+    for cap in (2, 7, 50):
+        old = Z.prefix_buckets(e, 2, cap).withColumn("score", S.partial_ratio_from(65.0)("name1", "name2")).filter("score >= 65").drop("name1", "name2")
+        new = Z.prefix_pairs(e, 2, cap)
+        assert "MapInPandas" in _plan(new) and sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
